@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes of text that a numpy pass works on at once; a longer text is a pass of its own.
 SLICE_BYTES = 1 << 20
@@ -91,8 +91,6 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
 
 
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,3 +145,34 @@ def bit_counts(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 def majority(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
     """The fingerprint whose bits are set in over half of the hashes."""
     return np.packbits(2 * counts > total[:, None], axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+
+
+#: Bits of a sieve; its bitmaps take an eighth of that in bytes, however many keys it holds.
+SIEVE_BITS = 1 << 27
+
+
+def sieve(keys: DataFrame, key: str) -> DataFrame:
+    """A table of bitmaps (bucket, bitmap) of the keys (longs) to broadcast, bounded by SIEVE_BITS / 8 bytes."""
+    at = F.pmod(F.col(key), F.lit(SIEVE_BITS)) + 1
+    return keys.groupBy(F.bitmap_bucket_number(at).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bitmap"))
+
+
+def sift(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose key may be among the keys (all that are, and few others), and the rest; neither is shuffled.
+
+    A later join on the key then moves the first part only."""
+    bits = F.broadcast(sieve(keys, key))  # at most SIEVE_BITS / 8 bytes
+    at = F.pmod(F.col(key), F.lit(SIEVE_BITS)) + 1
+    spot = F.bitmap_bit_position(at)
+    marked = df.withColumn("__bucket", F.bitmap_bucket_number(at)).withColumn("__spot", spot).join(bits, "__bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(__bitmap, cast(__spot div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("shiftright(__byte, cast(__spot % 8 as int)) & 1") == 1, F.lit(False))
+    marked = marked.withColumn("__byte", byte).withColumn("__hit", hit)
+    return marked.where("__hit").select(*df.columns), marked.where("not __hit").select(*df.columns)
+
+
+def without(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows of df whose key is not among the keys; only rows that the sieve lets through are shuffled."""
+    keys = keys.select(key).distinct()
+    maybe, rest = sift(df, key, keys)
+    return rest.unionByName(maybe.join(keys, key, "left_anti").select(*df.columns))

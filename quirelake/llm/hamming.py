@@ -199,7 +199,7 @@ def run_pairs(rows: DataFrame, columns: list[tuple[str, str]], compare: Callable
         t = pa.Table.from_batches(parts)
         key, side = t["pair"].to_numpy(), t["side"].to_numpy()
         own = {c: t[c].to_numpy() for c in names}
-        order = np.lexsort((side, key))
+        order = np.lexsort((own[names[0]], side, key))
         key, side, own = key[order], side[order], {c: x[order] for c, x in own.items()}
         for lo, hi in runs(key):
             mid = lo + int(np.searchsorted(side[lo:hi], 1))
