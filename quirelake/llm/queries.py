@@ -17,6 +17,15 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import format_turns, read_back
+
+    said = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    own = _table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
+    return read_back(format_turns(own.unionByName(more)))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicate_classes
 
@@ -37,6 +46,12 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, secrets
+
+    return digest(secrets(_table(spark, sf_dir, "documents")))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import detect, digest
 
@@ -45,9 +60,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op5_packing": op5_packing,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_secret_scans": op8_secret_scans,
     "op10_personal_data": op10_personal_data,
 }
 SQL: dict[str, str] = {}
