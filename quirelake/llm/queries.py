@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share."""
+    from .common import shared_dir
+
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import leaks
 
@@ -32,6 +40,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(_table(spark, sf_dir, "documents"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rollup import token_totals
+
+    return token_totals(_table(spark, sf_dir, "documents"), _folder(spark, "token-totals"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -40,6 +54,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents")).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .training_order import write_shards
+
+    return write_shards(_table(spark, sf_dir, "documents"), _folder(spark, "shards"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
@@ -52,6 +72,12 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(secrets(_table(spark, sf_dir, "documents")))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .iblt import against_next
+
+    return against_next(_table(spark, sf_dir, "documents"))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import detect, digest
 
@@ -62,9 +88,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_token_counts": op4_token_counts,
     "op5_packing": op5_packing,
+    "op6_training_order": op6_training_order,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_secret_scans": op8_secret_scans,
+    "op9_document_fingerprints": op9_document_fingerprints,
     "op10_personal_data": op10_personal_data,
 }
 SQL: dict[str, str] = {}
