@@ -61,7 +61,7 @@ def excel_serial_text(serial: Column, has_time: bool = False, seconds: bool = Fa
 
 def serial_of(ts: Column, uses_1904: bool = False) -> Column:
     """The serial number of a timestamp (UTC)."""
-    return F.unix_micros(ts) / F.lit(86_400_000_000.0) + F.lit(EPOCH_1904 if uses_1904 else EPOCH_1900)
+    return F.unix_micros(ts.cast("timestamp")) / F.lit(86_400_000_000.0) + F.lit(EPOCH_1904 if uses_1904 else EPOCH_1900)
 
 
 def grouped(value: Column, decimals: int, commas: bool = True) -> Column:
