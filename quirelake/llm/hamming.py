@@ -151,12 +151,12 @@ def _pieces(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(lo, rows)
 
 
-def run_pairs(rows: DataFrame, columns: list[tuple[str, str]], compare: Callable, out: str, spark_rows: int) -> tuple[DataFrame, Callable]:
+def run_pairs(rows: DataFrame, columns: list[tuple[str, str]], compare: Callable, out: str, spark_rows: int, run_rows: int = RUN_ROWS) -> tuple[DataFrame, Callable]:
     """Meets rows of equal run key. compare(cols, lo, hi, lo2, hi2) gives the record batches for rows [lo, hi) against
     [lo2, hi2) of one run, or within [lo, hi) where both are the same.
 
     Returns what the first pass gives (with column chunk: null for results) and a function that makes the second pass
-    from its cut rows: a run of over RUN_ROWS rows is dealt out as pairs of chunks."""
+    from its cut rows: a run of over run_rows rows is dealt out as pairs of chunks."""
     names = [c for c, _ in columns]
     schema = ", ".join(f"{c} {t}" for c, t in columns)
 
@@ -181,12 +181,12 @@ def run_pairs(rows: DataFrame, columns: list[tuple[str, str]], compare: Callable
             return
         key = cols.pop("key")
         for lo, hi in runs(key):
-            if hi - lo <= RUN_ROWS:
+            if hi - lo <= run_rows:
                 yield from compare(cols, [(lo, hi, lo, hi)], None)
                 continue
-            m = -(-(hi - lo) // RUN_ROWS)
+            m = -(-(hi - lo) // run_rows)
             for c in range(m):
-                at = slice(lo + c * RUN_ROWS, min(lo + (c + 1) * RUN_ROWS, hi))
+                at = slice(lo + c * run_rows, min(lo + (c + 1) * run_rows, hi))
                 for d in range(m):
                     a, b = min(c, d), max(c, d)
                     pair = mix(np.array([key[lo]], np.int64).view(np.uint64) + np.uint64(a * 1_000_003 + b))
@@ -236,7 +236,7 @@ class Forest:
         return a != b
 
 
-def close_pairs(fp: np.ndarray, box: tuple[int, int, int, int], radius: int, step: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def close_pairs(fp: np.ndarray, box: tuple[int, int, int, int], radius: int, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of rows [lo, hi) and [lo2, hi2) within the radius; i < j where both ranges are the same."""
     lo, hi, lo2, hi2 = box
     same = (lo, hi) == (lo2, hi2)
