@@ -265,7 +265,7 @@ def test_quality(spark, docs, none):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
     odd = quality.classify(docs, labels).collect()
     assert len(odd) == len(ROWS) and all(r["score"] is not None for r in odd)
-    assert quality.classify(docs, labels.limit(0)).where("score = 0.5").count() == len(ROWS)
+    assert quality.classify(docs, labels.limit(0)).where("abs(score - 0.5) < 1e-9").count() == len(ROWS)
     assert quality.classify(none, labels).count() == 0
 
 
