@@ -120,7 +120,7 @@ def format_hint(num_fmt_id: Column, code: Column) -> Column:
 
 def render_number(value: Column, hint: Column, uses_1904: bool = False, most_decimals: int = 6) -> Column:
     """A number under a format hint; numbers without one keep their text (that of the column)."""
-    number = value.cast("double")
+    number = value.try_cast("double")
     by = lambda f: F.coalesce(*(F.when(hint["decimals"] == d, f(d)) for d in range(most_decimals + 1)))
     date = F.when(~hint["has_time"], excel_serial_text(number, uses_1904=uses_1904)).when(hint["seconds"], excel_serial_text(number, True, True, uses_1904)).otherwise(excel_serial_text(number, True, False, uses_1904))
     plain = lambda commas: by(lambda d: grouped(number, d, commas))
