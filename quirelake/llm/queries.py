@@ -96,4 +96,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_personal_data": op10_personal_data,
 }
-SQL: dict[str, str] = {}
+
+_CHAT_SQL = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) turns_sha256,
+  cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) loss_sha256,
+  cast(sum(14 + length(replace(replace(role, '\', '\\'), chr(10), '\n')) + length(text) + len(regexp_extract_all(text, '(?m)^\\*(?:### |</turn>)'))) as bigint) formatted_chars
+from t group by conv_id"""
+
+_SECRETS_SQL = r"""
+with d as (select doc_id, source, coalesce(text, '') as t, row_number() over () r from documents),
+p(k, o, x, g) as (values ('assign', 1, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), ('access', 2, '(AKIA[A-Z0-9]{16,})', 1),
+  ('hex', 3, '([0-9a-f]{24,})', 1), ('key', 4, '([A-Za-z0-9_-]{24,})', 1)),
+m as (select doc_id, source, r, k, o, string_split_regex(t, x) b, regexp_extract_all(t, x, 0) w, regexp_extract_all(t, x, 1) v from d, p where regexp_matches(t, x)),
+i as (select *, unnest(range(1, len(w) + 1)) n from m),
+s as (select doc_id, source, r, k, o, w[n] as w, v[n] as v, cast(list_sum(list_transform(b[1:n], lambda y: length(y))) + coalesce(list_sum(list_transform(w[1:n - 1], lambda y: length(y))), 0) as bigint) a from i),
+base as (select *, a + length(w) e from s where k <> 'key' and (k <> 'assign' or length(v) >= 6)),
+own as (select *, a + length(w) e from s where k = 'key' and regexp_matches(w, '[0-9]') and regexp_matches(w, '[A-Za-z]')
+  and not exists (select 1 from base where base.r = s.r and s.a < base.e and base.a < s.a + length(s.w))),
+every as (select * from base union all select * from own),
+rated as (select v, count(distinct coalesce(source, '<none>')) owners from every group by v),
+kept as (select every.*, owners < 3 live from every join rated using (v) where k <> 'key' or owners < 3),
+j as (select r, count(*) filter (k = 'assign') n_assign, count(*) filter (k = 'access') n_access, count(*) filter (k = 'hex') n_hex,
+  string_agg(k || ':' || a || ':' || e, ',' order by a, o) filter (k <> 'key') base, string_agg(k || ':' || a || ':' || e, ',' order by a, o) spans,
+  count(*) filter (live) n_live, count(*) filter (not live) n_example from kept group by r)
+select doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, sha256(coalesce(base, '')) base_sha256,
+  coalesce(spans, '') spans, coalesce(n_live, 0) n_live, coalesce(n_example, 0) n_example from d left join j using (r)"""
+
+#: Fingerprints, token ids, chains and sketches are not expressible in SQL; their tests hold them against brute force.
+SQL: dict[str, str] = {"op2_chat_formatting": _CHAT_SQL, "op8_secret_scans": _SECRETS_SQL}
