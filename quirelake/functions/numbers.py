@@ -146,3 +146,13 @@ def financial_values(c: Column) -> Column:
 def is_writable_number(c: Column) -> Column:
     """Whether a writer stores the text as a number: no leading zero but 0 and 0.x."""
     return c.rlike(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$")
+
+
+def looks_like_table_data(c: Column) -> Column:
+    """Numbers, dates, part codes, values with units, designations in parentheses, temperature ranges."""
+    t = F.trim(c)
+    date = (F.length(t) <= 10) & (F.regexp_count(t, F.lit("[0-9]")) >= 4) & t.rlike("^[0-9/-]*[/-][0-9/-]*$")
+    code = (F.length(t) <= 10) & t.rlike(r"^[\p{IsAlphabetic}\p{N}]+$") & t.rlike("[0-9]")
+    unit = t.rlike("[0-9]") & t.rlike("°|V|A|Hz|µ|pin")
+    paren = F.contains(t, F.lit("(")) & F.contains(t, F.lit(")")) & t.rlike("[0-9]")
+    return (t != "") & (looks_like_number(t) | date | code | unit | paren | (t.rlike("°[CF]") & F.contains(t, F.lit("to"))))

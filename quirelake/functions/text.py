@@ -255,3 +255,50 @@ def _pattern(find: str, match: str) -> str:
     out = re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", find)
     out = rf"\b{out}\b" if "whole_word" in match else out
     return f"(?i){out}" if "ignore_case" in match else out
+
+
+# Words that a plausible English text has.
+COMMON_WORDS = (
+    "the", "and", "of", "to", "in", "a", "is", "that", "for", "with", "on", "as", "by", "from", "this", "be", "are", "at", "or", "not", "it", "our",
+)
+CJK = r"\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{F900}-\x{FAFF}"
+
+
+def is_cjk(c: Column) -> Column:
+    return c.rlike(f"[{CJK}]")
+
+
+def score_text(c: Column) -> Column:
+    """How plausible a decoded text is: 10 for a common word, 1 for a letter or digit, 2 for a space, less 2 for other signs
+    (6 for control and replacement characters), less 15 for over 15 letters without a common word."""
+    words = F.size(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: w.isin(*COMMON_WORDS)))
+    n = lambda p: F.regexp_count(c, F.lit(p))
+    letters = n(f"[A-Za-z{CJK}]")
+    bad = n(r"[\x{0}-\x{1F}\x{7F}-\x{9F}\x{FFFD}]")
+    other = F.length(c) - letters - n("[0-9 ]") - bad
+    return words * 10 + letters + n(" ") * 2 + n("[0-9]") - (other + bad * 3) * 2 - F.when((letters > 15) & (words == 0), 15).otherwise(0)
+
+
+def clean_symbol_pua(c: Column) -> Column:
+    """Signs of symbol fonts in F000-F0FF: bullets, check marks, and what stands at the code without F000."""
+    out = F.translate(c, "\uf0a1\uf0a7\uf0b7\uf0fc", "•••✓")
+    codes = [x for x in range(0x20, 0x100) if x not in (0xA1, 0xA7, 0xB7, 0xFC)]
+    return F.translate(out, "".join(chr(0xF000 + x) for x in codes), "".join(map(chr, codes)))
+
+
+def decode_text_string(raw: Column) -> Column:
+    """Bytes of a PDF text string: UTF-16 after its mark, else Latin-1."""
+    return F.when(F.hex(F.substring(raw, 1, 2)) == "FEFF", F.decode(F.substring(raw, 3, 1 << 30), "UTF-16BE")).otherwise(F.decode(raw, "ISO-8859-1"))
+
+
+def reverse_visual_rtl(c: Column) -> Column:
+    """Lines of visual right-to-left text in logical order: all is reversed, runs of Latin letters and digits are put back."""
+    runs = F.regexp_extract_all(F.reverse(c), F.lit(r"[A-Za-z0-9][A-Za-z0-9.,:/-]*[A-Za-z0-9]|[A-Za-z0-9]|[^A-Za-z0-9]+"), F.lit(0))
+    return F.when(is_rtl_text(c), F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[A-Za-z0-9]"), F.reverse(r)).otherwise(r)), "")).otherwise(c)
+
+
+def is_letterspaced(c: Column) -> Column:
+    """Most of a text's words are single letters."""
+    words = F.filter(F.split(trim(c), r"\s+"), lambda w: w != "")
+    single = F.filter(words, lambda w: w.rlike(r"^\p{L}$"))
+    return (F.size(words) >= 4) & (F.size(single) >= F.size(words) * 0.7)

@@ -182,7 +182,18 @@ def csv_formula_notes(spark: SparkSession, sf: str) -> DataFrame:
 
 CSV_FORMULA_NOTES = "select 'C' || o_orderkey cell_ref, '=B' || o_orderkey || '*2' formula from orders where o_orderkey % 5 = 0"
 
+
+def table_data_like(spark: SparkSession, sf: str) -> DataFrame:
+    c = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit("NE"), F.col("p_size"))).when(F.col("p_partkey") % 4 == 1, F.concat(F.col("p_size"), F.lit(" kHz"))).when(F.col("p_partkey") % 4 == 2, F.col("p_name")).otherwise(F.lit("12/04/2020"))
+    return table(spark, sf, "part").select("p_partkey", N.looks_like_table_data(c).alias("data"), F.size(N.financial_values(F.concat(F.lit("$ 1,234 (5.5%) "), F.col("p_size")))).cast("long").alias("values"))
+
+
+TABLE_DATA_LIKE = r"""
+select p_partkey, case p_partkey % 4 when 2 then regexp_matches(p_name, '^[0-9.,+-]*[0-9][0-9.,+-]*$') or (length(p_name) <= 10 and regexp_matches(p_name, '^[A-Za-z0-9]+$') and regexp_matches(p_name, '[0-9]')) or (regexp_matches(p_name, '[0-9]') and regexp_matches(p_name, '°|V|A|Hz|µ|pin|\(.*\)')) else true end as data,
+  3 as "values" from part"""
+
 QUERIES = {
+    "table_data_like": (table_data_like, TABLE_DATA_LIKE),
     "cell_names": (cell_names, CELL_NAMES),
     "excel_serial_dates": (excel_serial_dates, EXCEL_SERIAL_DATES),
     "number_formats": (number_formats, NUMBER_FORMATS),

@@ -221,7 +221,29 @@ from (select doc_id, length(regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')) g, leng
     length(regexp_replace(t, '[^\x{A1}-\x{FF}]', '', 'g')) h, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) a
   from (select doc_id, case when doc_id % 7 = 0 then regexp_replace(text, '[a-m]', chr(147), 'g') else text end t from documents))"""
 
+
+def decode_plausibility(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", T.score_text(F.col("text")).cast("long").alias("score"), T.is_letterspaced(F.col("text")).alias("spaced"))
+
+
+DECODE_PLAUSIBILITY = r"""
+with s as (select doc_id, text, len(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: w in ('the', 'and', 'of', 'to', 'in', 'a', 'is', 'that', 'for', 'with', 'on', 'as', 'by', 'from', 'this', 'be', 'are', 'at', 'or', 'not', 'it', 'our'))) w,
+  length(regexp_replace(text, '[^A-Za-z]', '', 'g')) l, length(regexp_replace(text, '[^ ]', '', 'g')) s, length(regexp_replace(text, '[^0-9]', '', 'g')) d, length(regexp_replace(text, '[^\x00-\x1F\x7F-\x{9F}\x{FFFD}]', '', 'g')) b,
+  list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') ws from documents)
+select doc_id, cast(w * 10 + l + s * 2 + d - (length(text) - l - s - d - b + b * 3) * 2 - case when l > 15 and w = 0 then 15 else 0 end as bigint) score,
+  len(ws) >= 4 and len(list_filter(ws, lambda x: regexp_matches(x, '^\p{L}$'))) >= len(ws) * 0.7 spaced from s"""
+
+
+def symbols_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.concat(F.lit("\uf0b7\uf041\uf0fc "), F.substring("text", 1, 40))
+    return table(spark, sf, "documents").select("doc_id", T.clean_symbol_pua(t).alias("cleaned"), T.decode_text_string(F.encode(t, "UTF-16")).alias("decoded"))
+
+
+SYMBOLS_CLEANED = """select doc_id, '•A✓ ' || substr(text, 1, 40) cleaned, chr(61623) || chr(61505) || chr(61692) || ' ' || substr(text, 1, 40) decoded from documents"""
+
 QUERIES = {
+    "decode_plausibility": (decode_plausibility, DECODE_PLAUSIBILITY),
+    "symbols_cleaned": (symbols_cleaned, SYMBOLS_CLEANED),
     "lines_classified": (lines_classified, LINES_CLASSIFIED),
     "garbage_quality": (garbage_quality, GARBAGE_QUALITY),
     "clean_markdown": (clean_markdown, CLEAN_MARKDOWN),
