@@ -22,8 +22,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType, B
 
 from .common import fan_out, mix, span_hashes, text_bytes, word_spans
 
-#: Cells of a fingerprint, and by what a sketch grows that doesn't peel.
-CELLS, GROWTH = 12, 4
+#: Cells of a fingerprint, and how often the cells of a sketch that doesn't peel are doubled.
+CELLS, GROWTH = 12, 2
+#: Cells for each digest of both at the first try: half of an edited text differs, mostly all of the next text.
+EDITED, NEXT = 0.75, 1.5
 CELL = np.dtype([("n", "<i2"), ("key", "<u8"), ("check", "<u4")])
 
 
@@ -115,29 +117,33 @@ def take(keys: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray
     return keys[i], to
 
 
-def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], cells: int = CELLS) -> np.ndarray:
-    """How many digests differ between the sets of each row of a and b."""
-    rows = len(a[1]) - 1
-    out = np.zeros(rows, np.int64)
-    left = np.arange(rows)
+def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], cells: int = CELLS, share: float = 0.0) -> np.ndarray:
+    """How many digests differ between the sets of each row of a and b. share: cells for each digest of both at the first
+    try, for versions that are known to differ much; tries start at `cells` otherwise."""
+    total = np.diff(a[1]) + np.diff(b[1])
+    out = np.zeros(len(total), np.int64)
+    # doublings of `cells` that each row is tried at next
+    at = np.ceil(np.log2(np.maximum(total * share / cells, 1))).astype(np.int64)
+    left = np.arange(len(total))
     while len(left):
-        again = []
-        step = max(1, (1 << 20) // cells)
-        for lo in range(0, len(left), step):
-            part = left[lo : lo + step]
-            x, y = sketch(*take(*a, part), cells), sketch(*take(*b, part), cells)
+        k = int(at[left].min())
+        own = left[at[left] == k]
+        size = cells << k
+        step = max(1, (1 << 20) // size)
+        for lo in range(0, len(own), step):
+            part = own[lo : lo + step]
+            x, y = sketch(*take(*a, part), size), sketch(*take(*b, part), size)
             clear, found, _ = peel(x[0] - y[0], x[1] ^ y[1], x[2] ^ y[2])
             out[part[clear]] = found[clear]
-            again.append(part[~clear])
-        left = np.concatenate(again)
-        cells *= GROWTH
+            at[part] = np.where(clear, -1, k + GROWTH)
+        left = left[at[left] >= 0]
     return out
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], share: float = 0.0) -> np.ndarray:
     """Twice the digests in common by all of both."""
     total = np.diff(a[1]) + np.diff(b[1])
-    return np.where(total > 0, 1 - differences(a, b) / np.maximum(total, 1), 1.0)
+    return np.where(total > 0, 1 - differences(a, b, share=share) / np.maximum(total, 1), 1.0)
 
 
 def fingerprints(keys: np.ndarray, at: np.ndarray, cells: int = CELLS) -> list[str]:
@@ -163,7 +169,17 @@ GROUP_CHARS = 1 << 20
 def _compare(rows: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
     """rows: doc_id, text, next text."""
     changed = [edited(t, u) for _, t, u in rows]
-    own, new, after = (paragraphs(*text_bytes(pa.array(x, pa.large_string()))) for x in ([t for _, t, _ in rows], changed, [u for _, _, u in rows]))
+    # the next text is mostly the next row's own
+    texts, after = [t for _, t, _ in rows], []
+    for i, (_, _, u) in enumerate(rows):
+        if i + 1 < len(rows) and rows[i + 1][1] is u:
+            after.append(i + 1)
+        else:
+            after.append(len(texts))
+            texts.append(u)
+    every = paragraphs(*text_bytes(pa.array(texts, pa.large_string())))
+    own, following = take(*every, np.arange(len(rows))), take(*every, np.array(after))
+    new = paragraphs(*text_bytes(pa.array(changed, pa.large_string())))
     return pa.record_batch(
         [
             pa.array([i for i, _, _ in rows], pa.int64()),
@@ -171,8 +187,8 @@ def _compare(rows: list[tuple[int | None, str, str]]) -> pa.RecordBatch:
             pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed]),
             pa.array(fingerprints(*own)),
             pa.array(fingerprints(*new)),
-            pa.array(likeness(own, new)),
-            pa.array(likeness(own, after)),
+            pa.array(likeness(own, new, EDITED)),
+            pa.array(likeness(own, following, NEXT)),
         ],
         ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     )
