@@ -148,7 +148,7 @@ def majority(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
 
 
 #: Bits of a sieve; its bitmaps take an eighth of that in bytes, however many keys it holds.
-SIEVE_BITS = 1 << 27
+SIEVE_BITS = 1 << 24
 
 
 def sieve(keys: DataFrame, key: str) -> DataFrame:

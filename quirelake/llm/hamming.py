@@ -129,7 +129,8 @@ def plan(n: int, both: np.ndarray, radius: int, near: float = 1.0) -> Plan:
 
 
 def probe_keys(fp: np.ndarray, p: Plan) -> tuple[np.ndarray, np.ndarray]:
-    """The index of the fingerprint and the key of the run, for every row that the plan sends."""
+    """The index of the fingerprint and the key of the run, for every row that the plan sends. A key ends in the number of
+    its partition."""
     idx, keys = [], []
     own = np.arange(len(fp))
     for k, (block, t) in enumerate(zip(p.blocks, p.thresholds, strict=True)):
@@ -142,18 +143,30 @@ def probe_keys(fp: np.ndarray, p: Plan) -> tuple[np.ndarray, np.ndarray]:
         for r in range(min((t + 1) // 2, len(block)) + 1):
             for flip in combinations(range(len(block)), r):
                 idx.append(own)
-                keys.append(mix((value ^ np.uint64(sum(1 << j for j in flip))) ^ salt))
+                key = mix((value ^ np.uint64(sum(1 << j for j in flip))) ^ salt)
+                keys.append((key & ~np.uint64(31)) | np.uint64(k))
     return (np.concatenate(idx), np.concatenate(keys)) if idx else (own[:0], fp[:0])
 
 
+def met_before(diff: np.ndarray, p: Plan, k: int) -> np.ndarray:
+    """Whether fingerprints that differ so meet in a partition before the k-th: their pair belongs to that one's run."""
+    out = np.zeros(len(diff), bool)
+    for block, t in zip(p.blocks[:k], p.thresholds[:k], strict=True):
+        if t >= 0:
+            mask = np.uint64(sum(1 << b for b in block))
+            out |= np.bitwise_count(diff & mask) <= 2 * ((t + 1) // 2)
+    return out
+
+
 def _pieces(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     for lo in range(0, batch.num_rows, rows):
         yield batch.slice(lo, rows)
 
 
 def run_pairs(rows: DataFrame, columns: list[tuple[str, str]], compare: Callable, out: str, spark_rows: int, run_rows: int = RUN_ROWS) -> tuple[DataFrame, Callable]:
-    """Meets rows of equal run key. compare(cols, lo, hi, lo2, hi2) gives the record batches for rows [lo, hi) against
-    [lo2, hi2) of one run, or within [lo, hi) where both are the same.
+    """Meets rows of equal run key. compare(cols, boxes, defer, partition) gives the record batches for the boxes (lo, hi,
+    lo2, hi2), rows [lo, hi) against [lo2, hi2) of one run, or within [lo, hi) where both are the same; partition: the
+    number of the plan's partition that the run belongs to.
 
     Returns what the first pass gives (with column chunk: null for results) and a function that makes the second pass
     from its cut rows: a run of over run_rows rows is dealt out as pairs of chunks."""
@@ -182,7 +195,7 @@ def run_pairs(rows: DataFrame, columns: list[tuple[str, str]], compare: Callable
         key = cols.pop("key")
         for lo, hi in runs(key):
             if hi - lo <= run_rows:
-                yield from compare(cols, [(lo, hi, lo, hi)], None)
+                yield from compare(cols, [(lo, hi, lo, hi)], None, int(key[lo]) & 31)
                 continue
             m = -(-(hi - lo) // run_rows)
             for c in range(m):
@@ -190,7 +203,8 @@ def run_pairs(rows: DataFrame, columns: list[tuple[str, str]], compare: Callable
                 for d in range(m):
                     a, b = min(c, d), max(c, d)
                     pair = mix(np.array([key[lo]], np.int64).view(np.uint64) + np.uint64(a * 1_000_003 + b))
-                    yield from compare(cols, [], (at, pair.view(np.int64)[0], int(c > a)))
+                    pair = (pair & ~np.uint64(31)) | np.uint64(int(key[lo]) & 31)
+                    yield from compare(cols, [], (at, pair.view(np.int64)[0], int(c > a)), 0)
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
@@ -203,7 +217,7 @@ def run_pairs(rows: DataFrame, columns: list[tuple[str, str]], compare: Callable
         key, side, own = key[order], side[order], {c: x[order] for c, x in own.items()}
         for lo, hi in runs(key):
             mid = lo + int(np.searchsorted(side[lo:hi], 1))
-            yield from compare(own, [(lo, hi, lo, hi)] if mid == hi else [(lo, mid, mid, hi)], None)
+            yield from compare(own, [(lo, hi, lo, hi)] if mid == hi else [(lo, mid, mid, hi)], None, int(key[lo]) & 31)
 
     n = fan_out(rows.sparkSession, spark_rows, 1_000_000)
     found = rows.repartition(n, "key").mapInArrow(first, f"{out}, {schema}, pair long, side int")
@@ -270,7 +284,7 @@ def links(fps: DataFrame, radius: int, fp: str = "fp") -> DataFrame:
     names = ["u", "v", "fp", "pair", "side"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
 
-    def compare(cols: dict[str, np.ndarray], boxes: list, defer: tuple | None) -> Iterator[pa.RecordBatch]:
+    def compare(cols: dict[str, np.ndarray], boxes: list, defer: tuple | None, partition: int) -> Iterator[pa.RecordBatch]:
         if defer:
             at, pair, side = defer
             k = at.stop - at.start

@@ -133,7 +133,9 @@ class Model:
 def train(texts: list[str], labels: list[int], passes: int = 3) -> Model:
     """Fits the chain to documents with labels 0 and 1."""
     raw, offsets = text_bytes(pa.array(texts, pa.string()))
-    x, size, first = line_features(raw, offsets)
+    parts = [line_features(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in slices(offsets, 1 << 18)]
+    x, size = (np.concatenate([p[k] for p in parts]) if parts else line_features(raw, offsets)[k] for k in (0, 1))
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))]) if parts else np.zeros(1, np.int64)
     cuts = np.stack([np.quantile(c[c >= 0], np.arange(1, BINS) / BINS) if (c >= 0).any() else np.zeros(BINS - 1) for c in x.T]) if len(x) else np.zeros((x.shape[1], BINS - 1))
     model = Model(cuts, Chain(np.zeros((x.shape[1] * (BINS + 1), 2)), np.zeros((2, 2)), np.zeros((2, 2))), float(np.mean(labels)) if labels else 0.5)
     if len(set(labels)) < 2 or not len(x):

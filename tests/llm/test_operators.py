@@ -86,7 +86,7 @@ def test_large_runs_are_dealt_out(spark):
     both, n = hamming.bit_statistics(df)[1], len(fps)
     assert hamming.bit_statistics(df)[0] == n and both[0, 0] == sum(f & 1 for f in fps)
     names = [("fp", "long")]
-    def compare(cols, boxes, defer):
+    def compare(cols, boxes, defer, partition):
         import pyarrow as pa
 
         null = lambda k, t: pa.nulls(k, t)

@@ -89,6 +89,18 @@ def test_plans_let_no_pair_within_the_radius_pass(radius, n):
         assert keys[0] & keys[1]
 
 
+def test_a_pair_belongs_to_the_first_partition_in_which_it_meets():
+    p = hamming.plan(10**5, np.full((64, 64), 25_000) + np.diag([25_000] * 64), 16, 0.15)
+    r = np.random.default_rng(6)
+    for _ in range(50):
+        a = np.array([r.integers(0, 1 << 63)], np.uint64)
+        b = a.copy()
+        for bit in r.choice(64, int(r.integers(17)), replace=False):
+            b ^= np.uint64(1 << int(bit))
+        meets = sorted({int(x) & 31 for x in set(hamming.probe_keys(a, p)[1].tolist()) & set(hamming.probe_keys(b, p)[1].tolist())})
+        assert meets and [k for k in meets if not hamming.met_before(a ^ b, p, k)[0]] == meets[:1]
+
+
 def test_differencing_deals_all():
     r = np.random.default_rng(3)
     for n, k in ((1, 1), (5, 3), (200, 16), (3, 7)):
