@@ -23,7 +23,7 @@ from .common import fan_out, mix
 #: Microseconds for a probed row (made, shuffled, sorted) and for a compared pair.
 ROW_US, PAIR_US = 1.5, 0.003
 #: Rows of a run that are compared where they are; a larger run is cut in chunks of this size whose pairs are dealt out.
-RUN_ROWS = 16_384
+RUN_ROWS = 131_072
 
 
 @dataclass(frozen=True)
@@ -115,7 +115,8 @@ def plan(n: int, both: np.ndarray, radius: int, near: float = 1.0) -> Plan:
             costs = []
             for t in range(-1, min(most, len(block)) + 1):
                 reach = 2 * ((t + 1) // 2) if t > 0 else t
-                costs.append((t, n * _ball(len(block), t) * ROW_US + n * n / 2 * near * _within(block, flips, reach) * PAIR_US))
+                chunks = -(-n * _ball(len(block), t) >> len(block)) // RUN_ROWS  # those of a run that is dealt out again
+                costs.append((t, n * _ball(len(block), t) * (1 + chunks) * ROW_US + n * n / 2 * near * _within(block, flips, reach) * PAIR_US))
             now: dict[int, tuple[float, tuple[int, ...]]] = {}
             for s, (c, ts) in dp.items():
                 for t, cost in costs:
