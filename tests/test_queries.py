@@ -1,5 +1,6 @@
 """Every registered query with SQL against DuckDB on the small tables."""
 
+import hashlib
 import math
 import os
 
@@ -40,3 +41,12 @@ def test_query_matches_sql(spark, duck, name):
     mine = rows(df.columns, [tuple(r) for r in df.collect()])
     assert mine == rows(names, got.fetchall())
     assert mine
+
+
+def test_symbols_are_cleaned_to_the_end_of_a_text(spark, tmp_path):
+    text = "x" * 100 + "\uf0b7 \uf041"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = own.QUERIES["symbols_cleaned_whole"](spark, str(tmp_path)).first()
+    digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+    assert (got["cleaned"], got["n_cleaned"]) == (digest("•A✓ " + "x" * 100 + "• A"), 107)
+    assert (got["decoded"], got["n_decoded"]) == (digest("\uf0b7\uf041\uf0fc " + text), 107)
