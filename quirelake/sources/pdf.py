@@ -10,7 +10,7 @@ import re
 import zlib
 from dataclasses import dataclass, field
 
-MAX_OPERATIONS, MAX_DEPTH = 1_000_000, 5
+MAX_DEPTH = 5
 _TOKEN = re.compile(rb"[\x00\t\n\f\r ]*(?:%[^\r\n]*[\r\n]+[\x00\t\n\f\r ]*)*(<<|>>|\[|\]|\{|\}|\(|<|/[^\x00\t\n\f\r ()<>\[\]{}/%]*|[^\x00\t\n\f\r ()<>\[\]{}/%]+)")
 
 
@@ -323,7 +323,7 @@ def _interpret(doc: Document, data: bytes, resources: dict, ctm: tuple, out: dic
             out["items"].append({"text": text, "x": full[4], "y": full[5], "width": width * scale, "font": g["font"].name, "font_size": g["size"] * ((full[2] ** 2 + full[3] ** 2) ** 0.5 or scale), "known": g["font"].known})
         tm = _times((1, 0, 0, 1, width, 0), tm)
 
-    for _ in range(MAX_OPERATIONS):
+    while True:  # to the end, also beyond the reference's 1,000,000 operations, over which it skips the page
         v = reader.value(refs=False)
         if v is None:
             if reader.at >= len(data) or reader.token() is None:

@@ -171,3 +171,8 @@ def test_stream(spark, tmp_path):
     q.stop()
     assert "| Widget |" in spark.sql("select markdown from streamed").first()["markdown"]
     assert S.read_files(spark, str(tmp_path / "in")).first()["format"] == "csv"
+
+
+def test_pdf_page_of_over_a_million_values_is_read_to_its_end():
+    d = pdf.Document(pdf_bytes(b"0 0 0 rg " * 260_000 + b"BT /F1 12 Tf 72 700 Td (the end) Tj ET"))
+    assert [i["text"] for i in pdf.page_items(d, d.pages()[0])["items"]] == ["the end"]
