@@ -9,9 +9,9 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.text import normalize_for_comparison
+from ..functions.text import is_caption_line, is_list_item, normalize_for_comparison
 
 LINES = "page int, line_no int, text string, x double, y double, x2 double, font_size double, items int"
 
@@ -105,6 +105,93 @@ def body_size(lines: DataFrame) -> DataFrame:
     return best.select("doc_id", F.coalesce(F.col("t") / 10, F.lit(12.0)).alias("base"))
 
 
+def paragraph_threshold(lines: DataFrame) -> DataFrame:
+    """(doc_id, base, threshold): the body size, and the gap over which a paragraph ends: the upper median of the gaps between
+    a document's lines that are under 10 x base, x 1.3, at least 1.5 x base; with fewer than 5 gaps 1.8 x base."""
+    gap = F.lag("y").over(W.partitionBy("doc_id", "page").orderBy("line_no")) - F.col("y")
+    gaps = lines.select("doc_id", gap.alias("gap")).join(body_size(lines), "doc_id")
+    own = gaps.groupBy("doc_id", "base").agg(F.array_sort(F.collect_list(F.when((F.col("gap") > 0) & (F.col("gap") < F.col("base") * 10), F.col("gap")))).alias("gs"))
+    median = F.element_at("gs", F.floor(F.size("gs") / 2).cast("int") + 1)
+    return own.select("doc_id", "base", F.when(F.size("gs") < 5, F.col("base") * 1.8).otherwise(F.greatest(median * 1.3, F.col("base") * 1.5)).alias("threshold"))
+
+
+def page_margins(lines: DataFrame) -> DataFrame:
+    """(doc_id, page, left, right, center, width, concentration, multi_column) of pages with three or more lines of three or
+    more items: the commonest start of a line in steps of 5 points (the smaller of equally common ones), the end at nine
+    tenths, the share of starts within two steps of the left margin, and whether neighbouring starts that have a fifth of
+    the lines each are 120 points or more apart."""
+    own = lines.where("items >= 3").select("doc_id", "page", F.round(F.col("x") / 5).cast("int").alias("step"), "x2")
+    of = own.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list("step")).alias("steps"), F.array_sort(F.collect_list("x2")).alias("ends"), F.count("*").cast("int").alias("n")).where("n >= 3")
+    count = "size(filter(steps, s -> s = k))"
+    of = of.withColumn("best", F.expr(f"-array_max(transform(array_distinct(steps), k -> struct({count} as c, -k as k))).k"))
+    of = of.withColumn("strong", F.expr(f"filter(array_distinct(steps), k -> {count} * 5 >= n)"))
+    of = of.select("doc_id", "page", (F.col("best") * 5.0).alias("left"), F.expr("element_at(ends, int(n * 9 div 10 + 1))").alias("right"), F.expr("size(filter(steps, s -> abs(s - best) <= 2)) / n").alias("concentration"), F.expr("exists(sequence(1, size(strong)), i -> i > 1 and strong[i - 1] - strong[i - 2] >= 24)").alias("multi_column"))
+    of = of.withColumn("width", F.greatest(F.col("right") - F.col("left"), F.lit(1.0)))
+    return of.select("doc_id", "page", "left", "right", (F.col("left") + F.col("width") / 2).alias("center"), "width", "concentration", "multi_column")
+
+
+#: Words with which a line that goes on may end.
+GOES_ON = "the a an and or of in to for with by on at from as is are was were be that this their its our your has have had not".split()
+
+
+def isolated_lines(lines: DataFrame) -> DataFrame:
+    """The lines that stand alone between paragraph gaps, as headings of body size do: one to six words in over three bytes,
+    0.95 x the body size or more, no list item or caption, not ending as a line that goes on; none of a page on which over a
+    quarter of the lines are such. A line's size is that of its largest item."""
+    page = W.partitionBy("doc_id", "page")
+    order = page.orderBy("line_no")
+    text = F.trim(F.regexp_replace("text", r"\s+", " "))
+    words = F.split(text, " ")
+    apart = lambda other: F.coalesce(F.abs(other - F.col("y")) > F.col("threshold"), F.lit(True))
+    short = (F.size(words) <= 6) & (F.octet_length(F.trim("text")) > 3) & (F.col("font_size") >= F.col("base") * 0.95) & ~is_list_item(text) & ~is_caption_line(text)
+    ended = ~F.substring(text, -1, 1).isin("-", ",", ";") & ~F.lower(F.element_at(words, -1)).isin(GOES_ON)
+    marked = lines.join(paragraph_threshold(lines), "doc_id").withColumn("alone", apart(F.lag("y").over(order)) & apart(F.lead("y").over(order)) & short & ended)
+    return marked.withColumn("share", F.avg(F.col("alone").cast("int")).over(page)).where("alone and share <= 0.25").select(*lines.columns)
+
+
+def cluster_rects(rects: list[tuple], tolerance: float, least: int = 1) -> list[list[int]]:
+    """Connected components, of the least size or more, of rectangles (x, y, width, height) that overlap when each is
+    widened by the tolerance; ordered by their first members. Components of any size are whole: the reference gives up on
+    those of 2000."""
+    n = len(rects)
+    x, y, w, h = np.array(rects, float).reshape(n, 4).T
+    left, right, low, top = x - tolerance, x + w + tolerance, y - tolerance, y + h + tolerance
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    order = np.argsort(left, kind="stable")
+    starts = left[order]
+    for k, i in enumerate(order.tolist()):
+        near = order[k + 1 : max(k + 1, int(np.searchsorted(starts, right[i], "right")))]
+        for j in near[(low[near] <= top[i]) & (top[near] >= low[i])].tolist():
+            a, b = root(i), root(j)
+            parent[max(a, b)] = min(a, b)
+    groups: dict[int, list[int]] = {}
+    for i in range(n):
+        groups.setdefault(root(i), []).append(i)
+    return [g for g in groups.values() if len(g) >= least]
+
+
+def rect_components(rects: DataFrame, tolerance: float, least: int = 1) -> DataFrame:
+    """(doc_id, page, idx, component): the component of each rectangle (doc_id, page, idx, x, y, width, height) that is in one
+    of the least size or more, numbered from 0 on its page; a page at a time."""
+    kind = rects.schema["doc_id"].dataType.simpleString()
+
+    def run(key, t):
+        t = t.sort_by("idx")
+        found = cluster_rects(list(zip(*(t.column(c).to_pylist() for c in ("x", "y", "width", "height")))), tolerance, least)
+        rows = [(i, n) for n, g in enumerate(found) for i in g]
+        idx = t.column("idx").take(pa.array([i for i, _ in rows], pa.int64()))
+        k = len(rows)
+        return pa.table([pa.array([key[0].as_py()] * k, t.schema.field("doc_id").type), pa.array([key[1].as_py()] * k, pa.int32()), idx.cast(pa.int32()), pa.array([n for _, n in rows], pa.int32())], ["doc_id", "page", "idx", "component"])
+
+    return rects.groupBy("doc_id", "page").applyInArrow(run, f"doc_id {kind}, page int, idx int, component int")
+
+
 def classified(pages: DataFrame) -> DataFrame:
     """Documents by the operations of their pages (doc_id, page, text_ops, images, distinct_chars): classification,
     confidence, page_count, pages_needing_ocr."""

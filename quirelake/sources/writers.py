@@ -139,7 +139,12 @@ def xlsx(doc: dict) -> bytes:
     return z.bytes()
 
 
+_GROUP = '<p:spTree><p:nvGrpSpPr><p:cNvPr id="1" name=""/><p:cNvGrpSpPr/><p:nvPr/></p:nvGrpSpPr><p:grpSpPr/></p:spTree>'
+_COLORS = 'bg1="lt1" tx1="dk1" bg2="lt2" tx2="dk2" ' + " ".join(f'accent{i}="accent{i}"' for i in range(1, 7)) + ' hlink="hlink" folHlink="folHlink"'
+
+
 def pptx(doc: dict) -> bytes:
+    """Slides with notes and comments, on one empty layout of one master."""
     z = _Parts()
     deck, ids = "ppt/presentation.xml", ""
     authors = sorted({c["author"] for s in doc["slides"] for c in s["comments"]})
@@ -158,8 +163,16 @@ def pptx(doc: dict) -> bytes:
         return f'<p:sp><p:nvSpPr><p:nvPr><p:ph type="{placeholder}"/></p:nvPr></p:nvSpPr><p:txBody>{paras}</p:txBody></p:sp>'
 
     ns = f'xmlns:p="{P}" xmlns:a="{A}" xmlns:r="{R}"'
+    master, layout = "ppt/slideMasters/slideMaster1.xml", "ppt/slideLayouts/slideLayout1.xml"
+    white = '<p:bg><p:bgPr><a:solidFill><a:srgbClr val="FFFFFF"/></a:solidFill><a:effectLst/></p:bgPr></p:bg>'
+    listed = f'<p:sldLayoutIdLst><p:sldLayoutId id="2147483649" r:id="{z.rel(master, "slideLayout", "../slideLayouts/slideLayout1.xml")}"/></p:sldLayoutIdLst>'
+    z.add(master, "presentationml.slideMaster", f"<p:sldMaster {ns}><p:cSld>{white}{_GROUP}</p:cSld><p:clrMap {_COLORS}/>{listed}</p:sldMaster>")
+    z.rel(layout, "slideMaster", "../slideMasters/slideMaster1.xml")
+    z.add(layout, "presentationml.slideLayout", f'<p:sldLayout {ns} type="blank"><p:cSld>{_GROUP}</p:cSld></p:sldLayout>')
+    masters = f'<p:sldMasterIdLst><p:sldMasterId id="2147483648" r:id="{z.rel(deck, "slideMaster", "slideMasters/slideMaster1.xml")}"/></p:sldMasterIdLst>'
     for n, s in enumerate(doc["slides"], 1):
         part, shapes = f"ppt/slides/slide{n}.xml", ""
+        z.rel(part, "slideLayout", "../slideLayouts/slideLayout1.xml")
         blocks = list(s["blocks"])
         if s["title"] is not None:
             shapes += shape(f"<a:p><a:r><a:t>{escape(s['title'])}</a:t></a:r></a:p>", "title")
@@ -188,7 +201,7 @@ def pptx(doc: dict) -> bytes:
         z.add("ppt/commentAuthors.xml", "presentationml.commentAuthors", f"<p:cmAuthorLst {ns}>{who}</p:cmAuthorLst>")
         z.rel(deck, "commentAuthors", "commentAuthors.xml")
     z.rel("", "officeDocument", deck)
-    z.add(deck, "presentationml.presentation.main", f"<p:presentation {ns}><p:sldIdLst>{ids}</p:sldIdLst></p:presentation>")
+    z.add(deck, "presentationml.presentation.main", f"<p:presentation {ns}>{masters}<p:sldIdLst>{ids}</p:sldIdLst></p:presentation>")
     return z.bytes()
 
 

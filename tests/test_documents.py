@@ -1,6 +1,8 @@
 """Readers, writers, markdown, JSON and patches over documents that are built here."""
 
+import io
 import json
+import zipfile
 
 import pytest
 
@@ -176,3 +178,16 @@ def test_stream(spark, tmp_path):
 def test_pdf_page_of_over_a_million_values_is_read_to_its_end():
     d = pdf.Document(pdf_bytes(b"0 0 0 rg " * 260_000 + b"BT /F1 12 Tf 72 700 Td (the end) Tj ET"))
     assert [i["text"] for i in pdf.page_items(d, d.pages()[0])["items"]] == ["the end"]
+
+
+def test_pdf_paragraphs_by_the_documents_own_gaps():
+    page = b"BT /F1 10 Tf 72 700 Td (one) Tj " + b"".join(b"0 -%d Td (%s) Tj " % x for x in [(24, b"two"), (24, b"three"), (24, b"four"), (40, b"five"), (24, b"six"), (24, b"seven")]) + b"ET"
+    assert pdf.read_pdf(pdf_bytes(page))["pdf"]["pages"][0]["markdown"] == "one two three four\n\nfive six seven"
+
+
+def test_pptx_has_a_master_and_a_layout():
+    with zipfile.ZipFile(io.BytesIO(writers.pptx(pptx()))) as z:
+        read = {n: z.read(n).decode() for n in z.namelist()}
+    assert "<p:sldMaster " in read["ppt/slideMasters/slideMaster1.xml"] and "<p:sldLayout " in read["ppt/slideLayouts/slideLayout1.xml"]
+    assert "slideLayout1.xml" in read["ppt/slides/_rels/slide1.xml.rels"] and "slideMaster1.xml" in read["ppt/slideLayouts/_rels/slideLayout1.xml.rels"]
+    assert "sldMasterIdLst" in read["ppt/presentation.xml"] and "slideMaster+xml" in read["[Content_Types].xml"]

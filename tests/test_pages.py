@@ -52,3 +52,34 @@ def test_pages_as_rows(spark):
     assert [r["text"] for r in P.page_lines(items).orderBy("line_no").collect()] == ["a b", "c d", "e f"]
     regions = spark.createDataFrame([(1, 1, 7, 0.0, 675.0, 45.0, 695.0)], "doc_id int, page int, region int, x1 double, y1 double, x2 double, y2 double")
     assert [r["text"] for r in P.items_in_regions(items, regions).orderBy("idx").collect()] == ["c"]
+
+
+LINES = "doc_id int, page int, line_no int, text string, x double, y double, x2 double, font_size double, items int"
+
+
+def test_paragraph_threshold_and_isolated_lines(spark):
+    # a double-spaced document: gaps of 24 at size 10, one of 60 on each side of a short line
+    ys = [700, 676, 652, 628, 568, 508, 484, 460]
+    texts = ["Words that go on and on over the line"] * 8
+    rows = [(1, 1, i, "Main Results" if i == 4 else t, 50.0, float(y), 300.0, 10.0, 1) for i, (t, y) in enumerate(zip(texts, ys))]
+    rows += [(2, 1, i, "Alone here", 50.0, 700.0 - 60 * i, 300.0, 10.0, 1) for i in range(4)]
+    lines = spark.createDataFrame(rows, LINES)
+    got = {r["doc_id"]: (r["base"], round(r["threshold"], 6)) for r in P.paragraph_threshold(lines).collect()}
+    assert got == {1: (10.0, 31.2), 2: (10.0, 18.0)}
+    assert [(r["doc_id"], r["line_no"]) for r in P.isolated_lines(lines).collect()] == [(1, 4)]  # all of document 2's page would be
+
+
+def test_page_margins(spark):
+    one = [(1, 1, i, "t", x, 0.0, 500.0 + i, 10.0, 3) for i, x in enumerate([50.0, 51.0, 50.0, 59.0, 72.0])]
+    two = [(1, 2, i, "t", x, 0.0, 500.0, 10.0, 3) for i, x in enumerate([50.0, 50.0, 300.0, 300.0])]
+    few = [(1, 3, i, "t", 50.0, 0.0, 500.0, 10.0, n) for i, n in enumerate([3, 3, 2])]
+    got = {r["page"]: tuple(r)[2:] for r in P.page_margins(spark.createDataFrame(one + two + few, LINES)).collect()}
+    assert got == {1: (50.0, 504.0, 277.0, 454.0, 0.8, False), 2: (50.0, 500.0, 275.0, 450.0, 0.5, True)}
+
+
+def test_rect_components(spark):
+    chain = [(10.0 * i, 0.0, 9.0, 5.0) for i in range(2500)]
+    assert P.cluster_rects(chain, 0.5, 2) == [list(range(2500))] and P.cluster_rects(chain, 0.4, 2) == []
+    assert P.cluster_rects([(0, 0, 5, 5), (50, 0, 5, 5), (4, 4, 5, 5), (54, 20, 5, 5)], 0.0) == [[0, 2], [1], [3]] and P.cluster_rects([], 1.0) == []
+    rects = spark.createDataFrame([(1, 1, i, *r) for i, r in enumerate([(0.0, 0.0, 5.0, 5.0), (50.0, 0.0, 5.0, 5.0), (4.0, 4.0, 5.0, 5.0)])], "doc_id int, page int, idx int, x double, y double, width double, height double")
+    assert [(r["idx"], r["component"]) for r in P.rect_components(rects, 0.0, 2).orderBy("idx").collect()] == [(0, 0), (2, 0)]
