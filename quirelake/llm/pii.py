@@ -242,12 +242,29 @@ def _word_at(text: str, at: int) -> tuple[int, int]:
     return a, b
 
 
+#: Longest word that is looked at as one; a longer one, of text without white space, is looked at in pieces between STOPS.
+WORD_CHARS = 256
+STOPS = frozenset(",;:|\"'{}[]<>=&")
+
+
+def _piece_at(text: str, at: int, a: int, b: int) -> tuple[int, int]:
+    c = d = at
+    while c > a and text[c - 1] not in STOPS:
+        c -= 1
+    while d < b and text[d] not in STOPS:
+        d += 1
+    return c, d
+
+
 def marked_runs(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Runs of words with a digit or @, white space without a line break between them."""
+    """Runs of words (or pieces of long ones) with a digit or @, white space without a line break between them."""
     run: list[tuple[int, int]] = []
+    word = (0, 0)
     m = _MARKED.search(text)
     while m:
-        a, b = _word_at(text, m.start())
+        if m.start() >= word[1]:
+            word = _word_at(text, m.start())
+        a, b = word if word[1] - word[0] <= WORD_CHARS else _piece_at(text, m.start(), *word)
         if run and (text[run[-1][1] : a].strip() or "\n" in text[run[-1][1] : a]):
             yield run
             run = []
@@ -257,33 +274,29 @@ def marked_runs(text: str) -> Iterator[list[tuple[int, int]]]:
         yield run
 
 
-def _left(text: str, at: int) -> tuple[int, str]:
-    """The word before a place on its line: its start and itself."""
+def _left(text: str, at: int, piece: bool) -> tuple[int, str]:
+    """The word, or the piece of a long one, before a place on its line: its start and itself."""
     b = at
-    while b > 0 and text[b - 1] in " \t":
+    piece = piece and at > 0 and text[at - 1] in STOPS
+    while b > 0 and (text[b - 1] in STOPS if piece else text[b - 1] in " \t"):
         b -= 1
     a = b
-    while a > 0 and b - a < 64 and not text[a - 1].isspace():
+    while a > 0 and b - a < 64 and not text[a - 1].isspace() and not (piece and text[a - 1] in STOPS):
         a -= 1
     return a, text[a:b]
 
 
 def _right(text: str, at: int) -> str:
     a = at
-    while a < len(text) and text[a] in " \t":
+    piece = at < len(text) and text[at] in STOPS  # a word ends at white space
+    while a < len(text) and (text[a] in STOPS if piece else text[a] in " \t"):
         a += 1
     b = a
-    while b < len(text) and b - a < 64 and not text[b].isspace():
+    while b < len(text) and b - a < 64 and not text[b].isspace() and not (piece and text[b] in STOPS):
         b += 1
     return text[a:b]
 
 
-#: Longest word that the tagger looks at; a longer one is none of the kinds.
-WORD_CHARS = 256
-#: Words of a run that are decoded together; the digits of a longer run are a table, not a number.
-RUN_WORDS = 64
-
-
 def added_spans(texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     """What the tagger finds besides: spans of one kind that touch no base span, for many texts at once."""
     t = tagger()
@@ -291,21 +304,16 @@ def added_spans(texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     for d, text in enumerate(texts):
         if not text or not _MARKED.search(text):
             continue
-        taken = sorted((a, b) for _, a, b in base[d])
-        k = 0
         for run in marked_runs(text):
-            for lo in range(0, len(run), RUN_WORDS):
-                part = run[lo : lo + RUN_WORDS]
-                while k < len(taken) and taken[k][1] <= part[0][0]:
-                    k += 1
-                words = [text[a:b] if b - a <= WORD_CHARS else "#" for a, b in part]
-                p1, l1 = _left(text, part[0][0])
-                l2 = _left(text, p1)[1] if l1 else ""
-                around = [l2, l1, *words, _right(text, part[-1][1])]
-                for i, (a, b) in enumerate(part):
-                    rows.append(t.features(*around[i : i + 4]))
-                    where.append((d, a, b))
-                first.append(len(rows))
+            at = run[0][0]
+            piece = at > 0 and not text[at - 1].isspace()
+            p1, l1 = _left(text, at, piece)
+            l2 = _left(text, p1, piece)[1] if l1 else ""
+            around = [l2, l1, *(text[a:b] for a, b in run), _right(text, run[-1][1])]
+            for i, (a, b) in enumerate(run):
+                rows.append(t.features(*around[i : i + 4]))
+                where.append((d, a, b))
+            first.append(len(rows))
     out: list[list[Span]] = [[] for _ in texts]
     if not rows:
         return out
