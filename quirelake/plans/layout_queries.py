@@ -86,6 +86,19 @@ with n as (select conv_id, max(turn) + 1 n from conversations group by 1 having
 select e.conv_id, cast(page as bigint) page, coalesce(role, '') as text from e left join conversations c on c.conv_id = e.conv_id and c.turn + 1 = page and turn % 2 = 0"""
 
 
+def filled_pages_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """All turns of each conversation on every other page; fill_missing_pages and its SQL see the even turns only."""
+    c = table(spark, sf, "conversations")
+    n = c.groupBy("conv_id").agg((F.max("turn") * 2 + 2).cast("int").alias("n"))
+    spread = c.join(n, "conv_id").select("conv_id", (F.col("turn") * 2 + 1).cast("int").alias("page"), "text", F.col("turn").alias("ord"), "n")
+    return L.filled_pages(spread, "conv_id", "n").select("conv_id", F.col("page").cast("long").alias("page"), "text")
+
+
+FILLED_PAGES_WHOLE = """
+with e as (select conv_id, unnest(range(1, max(turn) * 2 + 3)) page from conversations group by conv_id)
+select e.conv_id, cast(page as bigint) page, coalesce(text, '') as text from e left join conversations c on c.conv_id = e.conv_id and c.turn * 2 + 1 = page"""
+
+
 def grid_range(spark: SparkSession, sf: str) -> DataFrame:
     """Prices into the first interval that holds them."""
     edges = F.array(*(F.lit(float(x)) for x in (900, 1000, 1200, 1500, 1900)))
@@ -199,6 +212,7 @@ QUERIES = {
     "line_grouping_islands": (line_islands, LINE_ISLANDS),
     "continuation_merge": (continuation_merge, CONTINUATION_MERGE),
     "fill_missing_pages": (filled_pages, FILLED_PAGES),
+    "fill_missing_pages_whole": (filled_pages_whole, FILLED_PAGES_WHOLE),
     "grid_range_join": (grid_range, GRID_RANGE),
     "interval_overlap": (interval_overlap, INTERVAL_OVERLAP),
     "nearest_column": (nearest_column, NEAREST_COLUMN),
