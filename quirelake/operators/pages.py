@@ -278,12 +278,10 @@ def table_from_text(items: list[dict]) -> list[list[str]] | None:
 
 
 def is_key_value(cells: list[list[str]]) -> bool:
-    """Rows of a label and a value rather than a table."""
-    if not cells or len(cells[0]) > 6:
-        return False
-    two = sum(sum(bool(c) for c in r) <= 2 for r in cells)
-    labels = sum(bool(r[0]) and (r[0].endswith(":") or re.fullmatch(r"[A-Za-z][A-Za-z /]{0,30}", r[0]) is not None) for r in cells)
-    return two > 0.7 * len(cells) and labels > 0.5 * len(cells)
+    """Labels with a value rather than a table (page_tables)."""
+    from .page_tables import is_key_value as rule
+
+    return rule(cells)
 
 
 def is_contents(cells: list[list[str]]) -> bool:
