@@ -1,7 +1,8 @@
-"""PDF files: objects, content streams and fonts with a ToUnicode map or a Latin encoding, as positioned text.
+"""PDF files: objects, content streams, fonts, tags, links and form fields, as positioned text; and the document they make.
 
 Covers plain and object-stream cross references by scanning for objects, Flate, ASCII85 and ASCIIHex filters, the text
-operators, and form XObjects to depth 5. Encrypted files, CJK tables without a map and TrueType cmaps aren't decoded."""
+operators, marked content, and form XObjects to depth 5. Fonts are decoded by ToUnicode maps, by glyph names, by the cmap
+of an embedded TrueType font, and by the Korean CIDs. Encrypted files and other CID collections without a map aren't."""
 
 from __future__ import annotations
 
@@ -9,11 +10,26 @@ import base64
 import re
 import zlib
 from dataclasses import dataclass, field
+from functools import cached_property
+
+from ..functions.text import BOLD_FONTS, ITALIC_FONTS
+from ..operators import assemble as A, page_tables as T, reading as R
+from .glyphs import glyph_char, is_garbage, korean_char, truetype_chars
 
 MAX_DEPTH = 5
+#: The structure types that a tag may name.
+STRUCTURE = (
+    "Document Part Art Sect Div BlockQuote Caption TOC TOCI Index NonStruct Private H H1 H2 H3 H4 H5 H6 P L LI Lbl LBody Table TR TH "
+    "TD THead TBody TFoot Span Quote Note Reference BibEntry Code Link Annot Figure Formula Form Ruby RB RT RP Warichu WT WP"
+).split()
+_BARE = re.compile(rb"/S (?=(?:" + "|".join(sorted(STRUCTURE, key=len, reverse=True)).encode() + rb")(?:[\n\r />]|\Z))")
 _TOKEN = re.compile(rb"[\x00\t\n\f\r ]*(?:%[^\r\n]*[\r\n]+[\x00\t\n\f\r ]*)*(<<|>>|\[|\]|\{|\}|\(|<|/[^\x00\t\n\f\r ()<>\[\]{}/%]*|[^\x00\t\n\f\r ()<>\[\]{}/%]+)")
 
 
+_REF, _OCTAL = re.compile(rb"\s+[0-9]+\s+R(?![A-Za-z])"), re.compile(rb"[0-7]{1,3}")
+_INT, _REAL = re.compile(rb"[+-]?[0-9]+"), re.compile(rb"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)")
+
+
 class Name(str):
     pass
 
@@ -47,6 +63,10 @@ class Reader:
         return m[1]
 
     def string(self) -> bytes:
+        end = self.data.find(b")", self.at)
+        if end >= 0 and self.data.find(b"\\", self.at, end) < 0 and self.data.find(b"(", self.at, end) < 0:
+            self.at, start = end + 1, self.at  # nothing to be unescaped
+            return self.data[start:end]
         out, depth, d = bytearray(), 1, self.data
         while self.at < len(d):
             c = d[self.at]
@@ -54,7 +74,7 @@ class Reader:
             if c == 0x5C and self.at < len(d):
                 e = d[self.at]
                 self.at += 1
-                if m := re.compile(rb"[0-7]{1,3}").match(d, self.at - 1):
+                if m := _OCTAL.match(d, self.at - 1):
                     out.append(int(m[0], 8) & 255)
                     self.at = m.end()
                 elif e in b"\r\n":
@@ -95,12 +115,12 @@ class Reader:
             return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
         if t.startswith(b"/"):
             return Name(re.sub(rb"#([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), t[1:]).decode("latin-1"))
-        if re.fullmatch(rb"[+-]?[0-9]+", t):
-            if refs and (m := re.compile(rb"\s+[0-9]+\s+R(?![A-Za-z])").match(self.data, self.at)):
+        if _INT.fullmatch(t):
+            if refs and (m := _REF.match(self.data, self.at)):
                 self.at = m.end()
                 return Ref(int(t))
             return int(t)
-        if re.fullmatch(rb"[+-]?[0-9]*\.?[0-9]*", t) and re.search(rb"[0-9]", t):
+        if _REAL.fullmatch(t):
             return float(t)
         word = t.decode("latin-1")
         return {"true": True, "false": False}.get(word, Operator(word))
@@ -112,9 +132,12 @@ class Document:
         if start < 0:
             raise ValueError("not a PDF file")
         self.data = content[start:]
+        if b"/StructTreeRoot" in self.data:
+            self.data = _BARE.sub(b"/S /", self.data)  # some writers forget the slash of the name
         if re.search(rb"/Encrypt\s+[0-9]+\s+[0-9]+\s+R", self.data):
             raise ValueError("the file is encrypted")
         self.objects: dict[int, object] = {}
+        self.fonts: dict[int, Font] = {}  # those that were read, by their objects
         self.places = {int(m[1]): m.end() for m in re.finditer(rb"(?:^|(?<=[\s>]))([0-9]+)\s+[0-9]+\s+obj\b", self.data)}
         for n in list(self.places):
             o = self.load(n)
@@ -176,7 +199,7 @@ class Document:
                 for kid in self.get(node["Kids"]) or []:
                     walk(kid, own, seen | ({v.number} if isinstance(v, Ref) else set()))
             else:
-                out.append(own | node)
+                out.append(own | node | {"_ref": v.number if isinstance(v, Ref) else None})
 
         walk(self.root.get("Pages"), {}, frozenset())
         return out
@@ -210,21 +233,31 @@ class Font:
     default: float = 500.0
     encoding: str = "cp1252"
     known: bool = True
+    #: What glyph names, an embedded font or a collection say of codes that the map doesn't.
+    spare: dict[int, str] = field(default_factory=dict)
 
     def decode(self, raw: bytes) -> tuple[str, float]:
         """The text of a string operand and its advance in thousandths."""
+        if self.width == 1:
+            chars, widths = self.by_byte
+            return "".join([chars[c] for c in raw]), sum([widths[c] for c in raw])
         out, advance = [], 0.0
         for i in range(0, len(raw) - self.width + 1, self.width):
             code = int.from_bytes(raw[i : i + self.width], "big")
             advance += self.widths.get(code, self.default)
-            if code in self.to_text:
+            if code in self.to_text and not is_garbage(self.to_text[code]):
                 out.append(self.to_text[code])
-            elif self.width == 1:
-                out.append(bytes([code]).decode(self.encoding, "replace") if code >= 32 else "")
             else:
-                out.append("�")
+                out.append(self.spare.get(code, "�"))
         return "".join(out), advance
 
+    @cached_property
+    def by_byte(self) -> tuple[list[str], list[float]]:
+        """Text and advance of each code of one byte."""
+        plain = [bytes([c]).decode(self.encoding, "replace") if c >= 32 else "" for c in range(256)]
+        own = [self.to_text.get(c, "\x00") for c in range(256)]
+        return [self.spare.get(c, plain[c]) if is_garbage(t) else t for c, t in enumerate(own)], [self.widths.get(c, self.default) for c in range(256)]
+
 
 def to_unicode(cmap: bytes) -> tuple[dict[int, str], int]:
     """Codes to text, and the bytes of a code, from a ToUnicode stream."""
@@ -258,6 +291,9 @@ def page_fonts(doc: Document, resources: dict) -> dict[str, Font]:
         d = doc.get(ref)
         if not isinstance(d, dict):
             continue
+        if isinstance(ref, Ref) and ref.number in doc.fonts:
+            out[str(key)] = doc.fonts[ref.number]
+            continue
         f = Font(re.sub(r"^[A-Z]{6}\+", "", str(doc.get(d.get("BaseFont")) or key)))
         stream = doc.get(d.get("ToUnicode"))
         if isinstance(stream, Stream):
@@ -276,17 +312,56 @@ def page_fonts(doc: Document, resources: dict) -> dict[str, Font]:
                 else:
                     f.widths |= dict.fromkeys(range(a, b + 1), float(doc.get(w[i + 2]))) if i + 2 < len(w) else {}
                     i += 3
-            f.known = bool(f.to_text)
+            stands = f.widths and f.to_text and d.get("Encoding") in ("Identity-H", "Identity-V")
+            if stands and min(f.to_text) > 2 and min(f.widths) <= 2 and max(f.to_text) not in f.widths:
+                # the glyphs of a subset were numbered anew, its map wasn't: by their order
+                f.spare = {min(f.widths) + k + (min(f.widths) == 0): f.to_text[c] for k, c in enumerate(sorted(f.to_text))}
+            if not f.to_text:
+                f.spare = _cid_chars(doc, below)
+            f.known = bool(f.to_text or f.spare)
         else:
             first = int(doc.get(d.get("FirstChar", 0)) or 0)
             f.widths = {first + k: float(x) for k, v in enumerate(doc.get(d.get("Widths")) or []) if isinstance(x := doc.get(v), (int, float))}
             enc = doc.get(d.get("Encoding"))
             base = doc.get(enc.get("BaseEncoding")) if isinstance(enc, dict) else enc
             f.encoding = "mac_roman" if base == "MacRomanEncoding" else "cp1252"
+            f.spare, unnamed = _differences(doc, enc)
+            f.known = bool(f.to_text) or not unnamed
         out[str(key)] = f
+        if isinstance(ref, Ref):
+            doc.fonts[ref.number] = f
     return out
 
 
+def _differences(doc: Document, encoding) -> tuple[dict[int, str], bool]:
+    """Codes whose glyphs an encoding names, and whether it has names that say nothing (g12) only."""
+    out, code, named = {}, 0, 0
+    for v in doc.get(encoding.get("Differences")) or [] if isinstance(encoding, dict) else []:
+        v = doc.get(v)
+        if isinstance(v, int):
+            code = v
+        elif isinstance(v, Name):
+            named += 1
+            if (c := glyph_char(v)) is not None:
+                out[code] = c
+            code += 1
+    return out, named > 0 and not out
+
+
+def _cid_chars(doc: Document, font: dict) -> dict[int, str]:
+    """Characters by CID of a font without a map: from its TrueType file, or its collection, if it is the Korean one."""
+    system = doc.get(font.get("CIDSystemInfo")) or {}
+    if doc.get(system.get("Ordering")) == b"Korea1":
+        return {c: x for c in range(1, 8324) if (x := korean_char(c))}
+    file = doc.get((doc.get(font.get("FontDescriptor")) or {}).get("FontFile2"))
+    glyphs = truetype_chars(doc.decoded(file)) if isinstance(file, Stream) else {}
+    to_glyph = doc.get(font.get("CIDToGIDMap"))
+    if isinstance(to_glyph, Stream):
+        raw = doc.decoded(to_glyph)
+        return {k // 2: glyphs[g] for k in range(0, len(raw) - 1, 2) if (g := int.from_bytes(raw[k : k + 2], "big")) in glyphs}
+    return glyphs
+
+
 def _times(a: tuple, b: tuple) -> tuple:
     return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
 
@@ -295,8 +370,9 @@ ONE = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
 def page_items(doc: Document, page: dict, invisible: bool = False) -> dict:
-    """text items (text, x, y, width, font, font_size), rects, segments and counts of a page."""
-    out = {"items": [], "rects": [], "segments": [], "text_ops": 0, "images": 0, "path_ops": 0}
+    """text items (text, x, y, width, font, font_size, bold, italic, mcid), rects, clips, segments and counts of a page, as the
+    stream has them."""
+    out = {"items": [], "rects": [], "clips": [], "segments": [], "text_ops": 0, "images": 0, "path_ops": 0, "turned": 0, "level": 0, "signs": set()}
     contents = doc.get(page.get("Contents"))
     streams = [doc.get(c) for c in contents] if isinstance(contents, list) else [contents]
     data = b"\n".join(doc.decoded(s) for s in streams if isinstance(s, Stream))
@@ -304,9 +380,130 @@ def page_items(doc: Document, page: dict, invisible: bool = False) -> dict:
     return out
 
 
+def distinct_rects(rects: list[tuple]) -> list[tuple]:
+    """Rectangles without those that lie within half a point of the one before, in order of place on a grid of half points."""
+    out: list[tuple] = []
+    for r in sorted(rects, key=lambda r: tuple(int(v * 2) for v in r)):
+        if not out or any(abs(a - b) >= 0.5 for a, b in zip(out[-1], r)):
+            out.append(r)
+    return out
+
+
+def upright(page: dict) -> dict:
+    """A page whose text runs upwards (two thirds of what it shows) turned so that it runs to the right."""
+    if len(page["items"]) < 2 or page["turned"] == 0 or 3 * page["turned"] < 2 * (page["turned"] + page["level"]):
+        return page
+    items = [i | {"x": i["y"], "y": -i["x"], "width": i["width"] if i["width"] >= 0.5 else len(i["text"]) * i["font_size"] * 0.5} for i in page["items"]]
+    rects = [(y, -(x + abs(w)), h, w) for x, y, w, h in page["rects"]]
+    return page | {"items": items, "rects": rects, "segments": [(y1, -x1, y2, -x2) for x1, y1, x2, y2 in page["segments"]]}
+
+
+def page_links(doc: Document, page: dict) -> list[dict]:
+    """Link annotations with a URI: url, x, y, width, height."""
+    out = []
+    for a in doc.get(page.get("Annots")) or []:
+        a = doc.get(a)
+        if not isinstance(a, dict) or a.get("Subtype") not in (None, "Link"):
+            continue
+        rect = [doc.get(v) for v in doc.get(a.get("Rect")) or []]
+        uri = doc.get((doc.get(a.get("A")) or {}).get("URI"))
+        if len(rect) >= 4 and all(isinstance(v, (int, float)) for v in rect) and isinstance(uri, bytes):
+            out.append({"url": uri.decode("utf-8", "replace"), "x": float(rect[0]), "y": float(rect[1]), "width": float(rect[2] - rect[0]), "height": float(rect[3] - rect[1])})
+    return out
+
+
+def form_fields(doc: Document) -> list[dict]:
+    """Fields of the form that have a value: page (from 1), name, text, x, y, width, font_size (the height, 12 at most)."""
+    number = {p["_ref"]: n for n, p in enumerate(doc.pages(), 1)}
+    by_widget = {a.number: n for n, p in enumerate(doc.pages(), 1) for a in doc.get(p.get("Annots")) or [] if isinstance(a, Ref)}
+    out: list[dict] = []
+
+    def walk(v, above: dict, name: str, seen: frozenset) -> None:
+        d = doc.get(v)
+        if not isinstance(d, dict) or (isinstance(v, Ref) and v.number in seen):
+            return
+        own = above | {k: d[k] for k in ("FT", "V") if k in d}
+        title = doc.get(d.get("T"))
+        name = ".".join(x for x in (name, text_string(title) if isinstance(title, bytes) else "") if x)
+        kids = doc.get(d.get("Kids")) or []
+        for kid in kids:
+            walk(kid, own, name, seen | ({v.number} if isinstance(v, Ref) else set()))
+        value, rect = doc.get(own.get("V")), [doc.get(x) for x in doc.get(d.get("Rect")) or []]
+        text = text_string(value) if isinstance(value, bytes) else ("" if value == "Off" else str(value)) if isinstance(value, Name) else ""
+        at = d.get("P")
+        page = number.get(at.number) if isinstance(at, Ref) else by_widget.get(v.number) if isinstance(v, Ref) else None
+        if text.strip() and len(rect) >= 4 and page:
+            out.append({"page": page, "name": name, "text": text, "x": float(rect[0]), "y": float(rect[1]), "width": float(rect[2] - rect[0]), "font_size": min(12.0, abs(float(rect[3] - rect[1])))})
+
+    for field_ref in doc.get((doc.get(doc.root.get("AcroForm")) or {}).get("Fields")) or []:
+        walk(field_ref, {}, "", frozenset())
+    return out
+
+
+def standard_role(name: str, roles: dict) -> str:
+    """The structure type that a tag's name stands for, by the document's own map."""
+    at = name
+    for _ in range(8):
+        if at in STRUCTURE or at not in roles:
+            break
+        at = str(roles[at])
+    return at if at in STRUCTURE else name
+
+
+def structure(doc: Document) -> tuple[dict[int, dict[int, str]], list[list[list[dict]]]]:
+    """The tags of a document: roles by page and marked-content id, and its tables as rows of cells {header, mcids}."""
+    tree = doc.get(doc.root.get("StructTreeRoot"))
+    if not isinstance(tree, dict):
+        return {}, []
+    names = {k: doc.get(v) for k, v in (doc.get(tree.get("RoleMap")) or {}).items()}
+    number = {p["_ref"]: n for n, p in enumerate(doc.pages(), 1)}
+    roles: dict[int, dict[int, str]] = {}
+    tables: list[list[list[dict]]] = []
+
+    def kids(v) -> list:
+        k = doc.get(v)
+        return k if isinstance(k, list) else [] if k is None else [v if isinstance(v, Ref) else k]
+
+    def walk(v, role: str, page: int | None, seen: frozenset, row: list | None, cell: dict | None, table: list | None) -> None:
+        d = doc.get(v)
+        if isinstance(d, int) and not isinstance(d, bool):
+            d = {"Type": "MCR", "MCID": d}
+        if not isinstance(d, dict) or (isinstance(v, Ref) and v.number in seen) or len(seen) > 64:
+            return
+        at = d.get("Pg")
+        page = number.get(at.number, page) if isinstance(at, Ref) else page
+        if d.get("Type") == "MCR" or "MCID" in d and "S" not in d:
+            if page and isinstance(d.get("MCID"), int):
+                roles.setdefault(page, {})[d["MCID"]] = role
+                if cell is not None:
+                    cell["mcids"].append((d["MCID"], page))
+            return
+        role = standard_role(str(doc.get(d.get("S")) or "NonStruct"), names)
+        if role == "Table":
+            table = []
+        elif role == "TR" and table is not None:
+            row = []
+            table.append(row)
+        elif role in ("TD", "TH") and row is not None:
+            cell = {"header": role == "TH", "mcids": []}
+            row.append(cell)
+        inner = seen | ({v.number} if isinstance(v, Ref) else {-len(seen)})
+        for k in kids(d.get("K")):
+            walk(k, role, page, inner, row, cell, table)
+        if role == "Table" and len(table) >= 2 and any(table):
+            tables.append(table)
+
+    for k in kids(tree.get("K")):
+        walk(k, "NonStruct", None, frozenset(), None, None, None)
+    return roles, tables
+
+
 def _interpret(doc: Document, data: bytes, resources: dict, ctm: tuple, out: dict, invisible: bool, depth: int) -> None:
     fonts = page_fonts(doc, resources)
     forms = doc.get(resources.get("XObject")) or {}
+    marks: list[int | None] = []  # the marked-content ids that are open
+    path: list[tuple] = []  # rectangles of the path that isn't painted yet
+    clipped = False
     reader, args, stack = Reader(data), [], []
     g = {"ctm": ctm, "font": Font(), "size": 1.0, "lead": 0.0, "char": 0.0, "word": 0.0, "mode": 0}
     tm = line = ONE
@@ -319,8 +516,16 @@ def _interpret(doc: Document, data: bytes, resources: dict, ctm: tuple, out: dic
         width = advance / 1000 * g["size"] + g["char"] * n + g["word"] * raw.count(b" ") * (g["font"].width == 1)
         full = _times(tm, g["ctm"])
         scale = (full[0] ** 2 + full[1] ** 2) ** 0.5
+        out["signs"].update(raw)
         if text.strip() and (g["mode"] != 3 or invisible):
-            out["items"].append({"text": text, "x": full[4], "y": full[5], "width": width * scale, "font": g["font"].name, "font_size": g["size"] * ((full[2] ** 2 + full[3] ** 2) ** 0.5 or scale), "known": g["font"].known})
+            out["turned" if abs(full[1]) > abs(full[0]) else "level"] += 1
+            low = g["font"].name.lower()
+            out["items"].append(
+                {
+                    "text": text, "x": full[4], "y": full[5], "width": width * scale, "font": g["font"].name, "font_size": R.effective_font_size(g["size"], full), "known": g["font"].known,
+                    "bold": any(b in low for b in BOLD_FONTS) or "medium" in low and "mediumitalic" not in low, "italic": any(b in low for b in ITALIC_FONTS), "mcid": next((m for m in reversed(marks) if m is not None), None),
+                }
+            )
         tm = _times((1, 0, 0, 1, width, 0), tm)
 
     while True:  # to the end, also beyond the reference's 1,000,000 operations, over which it skips the page
@@ -365,8 +570,24 @@ def _interpret(doc: Document, data: bytes, resources: dict, ctm: tuple, out: dic
                     tm = _times((1, 0, 0, 1, -a / 1000 * g["size"], 0), tm)
         elif v == "re" and len(num) == 4:
             (x, y), (x2, y2) = _at(g["ctm"], num[0], num[1]), _at(g["ctm"], num[0] + num[2], num[1] + num[3])
-            out["rects"].append((min(x, x2), min(y, y2), abs(x2 - x), abs(y2 - y)))
+            path.append((min(x, x2), min(y, y2), abs(x2 - x), abs(y2 - y)))
             out["path_ops"] += 1
+        elif v in ("W", "W*"):
+            clipped = True
+        elif v in ("f", "F", "f*", "B", "B*", "b", "b*", "S", "s", "n"):
+            if v != "n":
+                out["rects"] += path
+            elif clipped:
+                out["clips"] += path
+            path, clipped = [], False
+        elif v in ("BDC", "BMC"):
+            about = args[-1] if args else None
+            if isinstance(about, Name):
+                about = doc.get((doc.get(resources.get("Properties")) or {}).get(str(about)))
+            number = doc.get(about.get("MCID")) if v == "BDC" and isinstance(about, dict) else None
+            marks.append(number if isinstance(number, int) else None)
+        elif v == "EMC" and marks:
+            marks.pop()
         elif v == "m" and len(num) == 2:
             pen = _at(g["ctm"], *num)
             out["path_ops"] += 1
@@ -390,86 +611,202 @@ def _at(m: tuple, x: float, y: float) -> tuple[float, float]:
     return x * m[0] + y * m[2] + m[4], x * m[1] + y * m[3] + m[5]
 
 
-def lines_of(items: list[dict]) -> list[dict]:
-    """Items of a page as lines from top to bottom: the same baseline within 3 points, a space at gaps of over 0.15 em."""
-    lines: list[list[dict]] = []
-    for it in sorted(items, key=lambda i: (-round(i["y"], 1), i["x"])):
-        if lines and abs(lines[-1][0]["y"] - it["y"]) <= 3:
-            lines[-1].append(it)
-        else:
-            lines.append([it])
+def page_height(doc: Document, page: dict) -> float:
+    box = [doc.get(v) for v in doc.get(page.get("MediaBox")) or []]
+    return float(box[3]) if len(box) == 4 else 792.0
+
+
+def content(doc: Document, invisible: bool = False) -> list[dict]:
+    """The pages of a document as the page operators take them: fragments merged, pages upright, form fields among the items;
+    with links, tags (roles) and the counts of what they show."""
+    roles, _ = structure(doc)
+    fields: dict[int, list[dict]] = {}
+    for f in form_fields(doc):
+        fields.setdefault(f["page"], []).append({k: f[k] for k in ("text", "x", "y", "width", "font_size")} | {"font": "", "bold": False, "italic": False, "mcid": None, "known": True})
     out = []
-    for row in lines:
-        row.sort(key=lambda i: i["x"])
+    for n, page in enumerate(doc.pages(), 1):
+        p = page_items(doc, page, invisible)
+        if not p["rects"] and p["clips"]:
+            p["rects"] = distinct_rects(p["clips"])
+        raw = p["items"]
+        turned = upright(p)
+        items, threshold = R.close_letterspaced(R.merge_subscripts(R.merge_items(turned["items"])) + fields.get(n, []))
+        out.append(turned | {"items": items, "threshold": threshold, "height": page_height(doc, page), "roles": roles.get(n, {}), "links": page_links(doc, page), "unknown": any(not i["known"] for i in raw), "is_turned": turned is not p})
+    return out
+
+
+def classify(pages: list[dict]) -> tuple[str, float, list[int]]:
+    """What a document is, how sure that is, and the pages that need to be read from their image."""
+    n = len(pages)
+    textual = [p["text_ops"] >= (10 if p["images"] else 3) and len(p["signs"]) >= 5 and not (p["images"] > 10 and p["images"] > 3 * p["text_ops"]) for p in pages]
+    ratio = sum(textual) / n if n else 0.0
+    images, shown = any(p["images"] for p in pages), any(p["text_ops"] for p in pages)
+    if ratio >= 0.6:
+        return "TextBased", ratio, []
+    if not any(textual) and images:
+        return ("ImageBased", 0.8, list(range(1, n + 1))) if shown else ("Scanned", 0.95, list(range(1, n + 1)))
+    if images:
+        return "Mixed", 0.7, [k for k, p in enumerate(pages, 1) if p["text_ops"] < 3 and p["images"]]
+    return ("TextBased", max(ratio, 0.5), []) if shown else ("Scanned", 0.9, list(range(1, n + 1)))
+
+
+def _visible(text: str) -> str:
+    return re.sub(r"[\s#*|\-]", "", text)
+
+
+def is_garbage_text(text: str) -> bool:
+    """At least 50 signs, marks of markdown apart, less than half of them letters or digits."""
+    own = _visible(text)
+    return len(own) >= 50 and 2 * sum(c.isalnum() for c in own) < len(own)
+
+
+def is_cid_garbage(text: str) -> bool:
+    """The same, or codes shown as Latin-1: control characters, or accented letters instead of plain ones."""
+    own = re.sub(r"\s", "", text)
+    control, high, plain = sum("\x80" <= c <= "\x9f" for c in own), sum("\xa1" <= c <= "\xff" for c in own), sum(c.isascii() and c.isalpha() for c in own)
+    return is_garbage_text(text) or len(own) >= 5 and (20 * control >= len(own) or 5 * high >= 2 * len(own) and 3 * plain < len(own))
+
+
+def has_encoding_issues(text: str) -> bool:
+    """A replacement character, or dollars that stand for spaces."""
+    dollars, between = text.count("$"), len(re.findall(r"(?<=[A-Za-z])\$(?=[A-Za-z])", text))
+    return "\ufffd" in text or dollars > 10 and (between > 20 or 2 * between > dollars)
+
+
+def split_pages(text: str, count: int) -> list[dict]:
+    """The pages of a text with page markers; those without any are empty."""
+    parts = re.split(r"(?m)^<!-- Page ([0-9]+) -->[^\S\n]*$", text)
+    found: dict[int, str] = {}
+    if parts[0].strip():
+        found[1] = parts[0].strip()
+    for n, body in zip(parts[1::2], parts[2::2]):
+        found.setdefault(int(n), body.strip())
+    if max(found, default=0) > 1:
+        found = {k: found.get(k, "") for k in range(1, max(count, max(found)) + 1)}
+    return [{"number": k, "markdown": found[k]} for k in sorted(found)]
+
+
+def process(raw: bytes, force: bool = False, options: A.Options = A.Options(numbers=True)) -> dict:
+    """A document: kind, confidence, pages, pages_needing_ocr, has_encoding_issues, title, layout, and its markdown (None if there
+    is nothing to be read).
+
+    Scanned documents are read with force only. Where what shows is empty, or of a mixed document garbage, invisible text is
+    read, too. Garbage text goes, and its pages are to be read from their images; so are those of a document that gives under
+    50 bytes a page, and those with fonts that say nothing."""
+    doc = Document(raw)
+    pages = content(doc)
+    kind, sure, ocr = classify(pages)
+    n = len(pages)
+    out = {"kind": kind, "confidence": sure, "pages": n, "pages_needing_ocr": ocr, "has_encoding_issues": False, "title": doc.title(), "markdown": None, "layout": {"is_complex": False, "pages_with_tables": [], "pages_with_columns": []}}
+    if kind in ("Scanned", "ImageBased") and not force:
+        return out
+    sample = "".join([i["text"] for p in pages for i in p["items"]][:200])
+    if not sample.strip() or kind == "Mixed" and is_garbage_text(sample):
+        pages = content(doc, invisible=True)
+    if kind == "TextBased":
+        pages = [p | {"items": [], "rects": [], "segments": []} if p["unknown"] and is_cid_garbage("".join(i["text"] for i in p["items"])) else p for p in pages]
+    _, tables = structure(doc)
+    base = A.base_of(pages)
+    found = A.layouts(pages, base, tables)
+    out["layout"] = A.complexity(pages, found)
+    text = A.document_markdown(pages, options, tables, found)
+    bare = re.sub(r"<!-- Page [0-9]+ -->", "", text)
+    out["has_encoding_issues"] = has_encoding_issues(text)
+    unknown = [k for k, p in enumerate(pages, 1) if p["unknown"]]
+    if kind == "Mixed" and is_garbage_text(bare):
+        return out | {"kind": "Scanned", "confidence": 0.95}
+    if kind == "TextBased" and is_garbage_text(bare):
+        return out | {"has_encoding_issues": True, "pages_needing_ocr": list(range(1, n + 1))}
+    out["pages_needing_ocr"] = sorted({*ocr, *unknown})
+    size = len(text.encode())
+    if kind == "TextBased" and n and not out["pages_needing_ocr"] and size < min(500, 50 * n):
+        out["pages_needing_ocr"] = list(range(1, n + 1))
+    return out if n and len(unknown) >= n else out | {"markdown": text}
+
+
+def pages_markdown(raw: bytes, wanted: list[int] | None = None) -> list[dict]:
+    """(page, markdown, needs_ocr) of each page, or of those wanted (from 1): each by itself, with the body size of the whole
+    document. A page that says nothing readable is empty and needs to be read from its image, so does one that isn't there."""
+    doc = Document(raw)
+    pages = content(doc)
+    base = A.base_of(pages)
+    out = []
+    for k in wanted or range(1, len(pages) + 1):
         text = ""
-        for a, b in zip([None, *row], row):
-            gap = b["x"] - a["x"] - a["width"] if a else 0.0
-            text += (" " if a and gap > 0.15 * b["font_size"] and not text.endswith(" ") and not b["text"].startswith(" ") else "") + b["text"]
-        out.append({"text": text.strip(), "y": row[0]["y"], "x": row[0]["x"], "font_size": max(i["font_size"] for i in row)})
+        if 1 <= k <= len(pages):
+            p = pages[k - 1] | {"segments": []}
+            text = A.document_markdown([p], A.Options(base=base, repeated=False)) if p["items"] else ""
+            if p["unknown"] or is_cid_garbage(text) or has_encoding_issues(text):
+                text = ""
+        out.append({"page": k, "markdown": text if text.strip() else "", "needs_ocr": not text.strip()})
     return out
 
 
-def paragraph_threshold(pages: list[list[dict]], base: float) -> float:
-    """The gap between lines over which a paragraph ends: the upper median of a document's gaps under 10 x base, x 1.3, at
-    least 1.5 x base; with fewer than 5 gaps 1.8 x base."""
-    gaps = sorted(g for lines in pages for a, b in zip(lines, lines[1:]) if 0 < (g := a["y"] - b["y"]) < 10 * base)
-    return max(gaps[len(gaps) // 2] * 1.3, base * 1.5) if len(gaps) >= 5 else base * 1.8
+Region = tuple[float, float, float, float]
 
 
-def page_markdown(lines: list[dict], threshold: float, tiers: list[float]) -> str:
-    """Headings by size tiers, paragraphs by gaps over the threshold."""
-    out: list[str] = []
-    for a, b in zip([None, *lines], lines):
-        level = next((i + 1 for i, t in enumerate(tiers) if abs(t - b["font_size"]) <= 0.5), None)
-        far = a is not None and a["y"] - b["y"] > threshold
-        if level:
-            out += ["", "#" * level + " " + b["text"], ""]
-        elif a is None or far or not out or out[-1] == "":
-            out += ["", b["text"]]
-        else:
-            out[-1] += " " + b["text"]
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(out)).strip()
+def region_texts(raw: bytes, page: int, boxes: list[Region]) -> list[dict]:
+    """(text, needs_ocr) inside each box of a page (from 1; points from the top left corner)."""
+    pages = content(Document(raw))
+    if not 1 <= page <= len(pages):
+        return [{"text": "", "needs_ocr": True} for _ in boxes]
+    p = pages[page - 1]
+    texts = [T.region_text(p["items"], b, p["height"], p["threshold"]) for b in boxes]
+    bad = [not t.strip() or is_cid_garbage(t) or has_encoding_issues(t) for t in texts]
+    return [{"text": "" if b else t, "needs_ocr": b} for t, b in zip(texts, bad)]
+
 
+def region_tables(raw: bytes, page: int, boxes: list[Region]) -> list[dict]:
+    """(text, needs_ocr): the table inside each box as markdown, if there is one that reads well."""
+    pages = content(Document(raw))
+    out = []
+    for b in boxes:
+        text = ""
+        if 1 <= page <= len(pages):
+            own = T.region_items(pages[page - 1]["items"], b, pages[page - 1]["height"])
+            counts: dict[int, int] = {}
+            for i in own:
+                counts[int(i["font_size"] * 10)] = counts.get(int(i["font_size"] * 10), 0) + 1
+            found = T.text_tables(own, max(counts, key=lambda s: (counts[s], s)) / 10) if own else []
+            text = T.markdown(found[0]) if found else ""
+            if is_cid_garbage(text) or has_encoding_issues(text) or T.is_partial(text, layout_known=True):
+                text = ""
+        out.append({"text": text, "needs_ocr": not text.strip()})
+    return out
 
-def read_pdf(content: bytes, force: bool = False) -> dict:
+
+def structured_tables(raw: bytes, inputs: list[dict]) -> list[dict]:
+    """Tables whose structure a model gave: inputs of page (from 1), tokens, boxes, dpi and region (points from the top left
+    corner). Each gives cells, markdown, and a reason if the region's text was read instead, because the cells have a known
+    fault."""
+    pages = content(Document(raw))
+    out = []
+    for x in inputs:
+        if not 1 <= x["page"] <= len(pages):
+            out.append({"cells": [], "markdown": "", "reason": None})
+            continue
+        p = pages[x["page"] - 1]
+        region = tuple(x["region"])
+        cells = T.fill_cells(T.structured(x["tokens"], x["boxes"], x["dpi"], region[:2]), p["items"], p["height"], p["threshold"])
+        text, reason = T.cells_markdown(cells), T.structure_issue(cells, p["items"], p["height"])
+        if reason:
+            read = region_tables(raw, x["page"], [region])[0]["text"]
+            text, reason = (read, reason) if read.strip() else (text, f"{reason}_heuristic_empty")
+        out.append({"cells": cells, "markdown": text, "reason": reason})
+    return out
+
+
+def read_pdf(raw: bytes, force: bool = False) -> dict:
     """The document with a text of each page, and diagnostics of how it was made."""
-    doc = Document(content)
-    pages = [page_items(doc, p) for p in doc.pages()]
-    sizes: dict[float, int] = {}
-    for p in pages:
-        for i in p["items"]:
-            if i["font_size"] >= 9:
-                s = int(i["font_size"] * 10) / 10
-                sizes[s] = sizes.get(s, 0) + 1
-    base = min(sizes, key=lambda s: (-sizes[s], s)) if sizes else 12.0
-    tiers: list[float] = []
-    for s in sorted((s for s in sizes if s >= 1.2 * base), reverse=True):
-        if not tiers or tiers[-1] - s > 0.5:
-            tiers.append(s)
-    textual = [p["text_ops"] >= (10 if p["images"] else 3) for p in pages]
-    ratio = sum(textual) / len(pages) if pages else 0.0
-    any_text, any_image = any(p["text_ops"] for p in pages), any(p["images"] for p in pages)
-    if ratio >= 0.6:
-        kind, sure = "TextBased", ratio
-    elif not any_text:
-        kind, sure = ("Scanned", 0.95) if any_image else ("Scanned", 0.9)
-    elif any_image:
-        kind, sure = "Mixed", 0.7
-    else:
-        kind, sure = "TextBased", max(ratio, 0.5)
-    lines = [lines_of(p["items"]) for p in pages]
-    threshold = paragraph_threshold(lines, base)
-    texts = [page_markdown(x, threshold, tiers[:4]) for x in lines]
-    scanned = kind == "Scanned" and not force
-    ocr = [i for i, (p, t) in enumerate(zip(pages, textual), 1) if not t and p["images"]] if any_image else []
-    whole = "\n".join(texts)
-    dollars, between = whole.count("$"), len(re.findall(r"(?<=[A-Za-z])\$(?=[A-Za-z])", whole))
-    bad = "�" in whole or (dollars > 10 and (between > 20 or between * 2 > dollars))
-    shown = [] if scanned else [{"number": i, "markdown": t} for i, t in enumerate(texts, 1)]
-    diagnostics = {"classification": kind, "confidence": round(sure, 4), "page_count": len(pages), "pages_needing_ocr": ocr, "has_encoding_issues": bad}
-    custom = {"pdf_classification": kind, "pdf_confidence": f"{sure:.4f}", "pdf_page_count": str(len(pages))}
-    core = {"title": t} if (t := doc.title()) else {}
-    return {"kind": "Pdf", "properties": {"core": core, "app": {}, "custom": custom}, "sheets": [], "slides": [], "sections": [], "pdf": {"pages": shown, "diagnostics": diagnostics}}
+    r = process(raw, force)
+    shown = split_pages(r["markdown"], r["pages"]) if r["markdown"] else []
+    diagnostics = {"classification": r["kind"], "confidence": round(r["confidence"], 4), "page_count": r["pages"], "pages_needing_ocr": r["pages_needing_ocr"], "has_encoding_issues": r["has_encoding_issues"]}
+    core = {"title": r["title"]} if r["title"] else {}
+    core |= {
+        "classification": r["kind"], "confidence": f"{r['confidence']:.4f}", "page_count": str(r["pages"]),
+        "pages_needing_ocr": ",".join(map(str, r["pages_needing_ocr"])), "has_encoding_issues": str(r["has_encoding_issues"]).lower(),
+    }
+    return {"kind": "Pdf", "properties": {"core": core, "app": {}, "custom": {}}, "sheets": [], "slides": [], "sections": [], "pdf": {"pages": shown, "diagnostics": diagnostics}}
 
 
 def fonts_used(content: bytes) -> list[dict]:
