@@ -61,6 +61,10 @@ def inspect(content: bytes, fmt: str | None = None) -> dict:
     return out
 
 
+#: Bytes of results that are sent together.
+SEND = 8 << 20
+
+
 def _each(docs: DataFrame, name: str, kind: str, arrow: pa.DataType, make: Callable) -> DataFrame:
     """(doc_id, name, error): what make(row) gives for each document."""
     has = "format" in docs.columns
@@ -68,6 +72,7 @@ def _each(docs: DataFrame, name: str, kind: str, arrow: pa.DataType, make: Calla
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            values, errors, first, held = [], [], 0, 0
             for i in range(b.num_rows):
                 value = error = None
                 content, fmt = b.column(1)[i].as_py(), b.column(2)[i].as_py()
@@ -77,7 +82,12 @@ def _each(docs: DataFrame, name: str, kind: str, arrow: pa.DataType, make: Calla
                     value = make(content, fmt or None)
                 except Exception as e:  # one document that can't be read doesn't stop the others
                     error = f"{type(e).__name__}: {e}"
-                yield pa.record_batch([b.column(0).slice(i, 1), pa.array([value], arrow), pa.array([error], pa.string())], ["doc_id", name, "error"])
+                values.append(value)
+                errors.append(error)
+                held += len(content or b"")
+                if held >= SEND or i + 1 == b.num_rows:
+                    yield pa.record_batch([b.column(0).slice(first, i + 1 - first), pa.array(values, arrow), pa.array(errors, pa.string())], ["doc_id", name, "error"])
+                    values, errors, first, held = [], [], i + 1, 0
 
     own = docs.select("doc_id", "content", F.col("format") if has else F.lit(None).cast("string").alias("format"))
     return own.mapInArrow(run, f"doc_id {id_type}, {name} {kind}, error string")
@@ -131,7 +141,10 @@ def parts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                package = Package(b.column(1)[i].as_py())
+                try:
+                    package = Package(b.column(1)[i].as_py())
+                except Exception:  # no package: it has no parts
+                    continue
                 by_ext, by_part = package.content_types()
                 names = package.parts()
                 types = [by_part.get(n, by_ext.get(n.rpartition(".")[2].lower())) for n in names]
@@ -141,17 +154,28 @@ def parts(docs: DataFrame) -> DataFrame:
 
 
 def _rows(docs: DataFrame, schema: str, make: Callable) -> DataFrame:
+    """The rows that make(content) gives for each document; a document that is null or can't be read has none."""
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
-    types = {"int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    types = {"int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}
     arrow = [types[f.strip().split(" ")[1]] for f in schema.split(",")]
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows, own, held = [], [], 0
             for i in range(b.num_rows):
-                rows = list(make(b.column(1)[i].as_py()))
-                cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-                yield pa.record_batch([b.column(0).take(pa.array([i] * len(rows), pa.int64())), *(pa.array(c, t) for c, t in zip(cols, arrow, strict=True))], ["doc_id", *names])
+                content = b.column(1)[i].as_py()
+                try:
+                    found = list(make(content)) if content is not None else []
+                except Exception:  # one document that can't be read doesn't stop the others; `markdown` tells its error
+                    found = []
+                rows += found
+                own += [i] * len(found)
+                held += len(content or b"")
+                if rows and (held >= SEND or i + 1 == b.num_rows):
+                    cols = list(zip(*rows, strict=True))
+                    yield pa.record_batch([b.column(0).take(pa.array(own, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, arrow, strict=True))], ["doc_id", *names])
+                    rows, own, held = [], [], 0
 
     return docs.select("doc_id", "content").mapInArrow(run, f"doc_id {id_type}, {schema}")
 
@@ -208,6 +232,33 @@ def xlsx_texts(docs: DataFrame, style_aware: bool = True, uses_1904: bool = Fals
     return wide.select("doc_id", "sheet", "row", "col", F.coalesce(text, F.lit("")).alias("text"), "seq")
 
 
+def pdf_links(docs: DataFrame) -> DataFrame:
+    """Link annotations with an address: page (from 1), url, x, y, width, height."""
+
+    def make(content: bytes):
+        doc = pdf.Document(content)
+        for n, page in enumerate(doc.pages(), 1):
+            for x in pdf.page_links(doc, page):
+                yield n, x["url"], x["x"], x["y"], x["width"], x["height"]
+
+    return _rows(docs, "page int, url string, x double, y double, width double, height double", make)
+
+
+def pdf_fields(docs: DataFrame) -> DataFrame:
+    """Form fields with a value: page (from 1), name, text, x, y, width."""
+    return _rows(docs, "page int, name string, text string, x double, y double, width double", lambda c: ((f["page"], f["name"], f["text"], f["x"], f["y"], f["width"]) for f in pdf.form_fields(pdf.Document(c))))
+
+
+def pdf_pages(docs: DataFrame) -> DataFrame:
+    """Every page by itself: page (from 1), markdown, needs_ocr."""
+    return _rows(docs, "page int, markdown string, needs_ocr boolean", lambda c: ((p["page"], p["markdown"], p["needs_ocr"]) for p in pdf.pages_markdown(c)))
+
+
+def pdf_layout(docs: DataFrame) -> DataFrame:
+    """(doc_id, layout, error): whether a document has pages with tables or columns, and which, as JSON."""
+    return _each(docs, "layout", "string", pa.string(), lambda c, _: to_json(pdf.process(c, True)["layout"]))
+
+
 def pdf_items(docs: DataFrame, invisible: bool = False) -> DataFrame:
     """Positioned texts of PDF files: page (from 1), idx, text, x, y, width, font, font_size."""
 
