@@ -151,7 +151,7 @@ def is_writable_number(c: Column) -> Column:
 def looks_like_table_data(c: Column) -> Column:
     """Numbers, dates, part codes, values with units, designations in parentheses, temperature ranges."""
     t = F.trim(c)
-    date = (F.length(t) <= 10) & (F.regexp_count(t, F.lit("[0-9]")) >= 4) & t.rlike("^[0-9/-]*[/-][0-9/-]*$")
+    date = (F.length(t) <= 10) & (F.length(t) - F.length(F.regexp_replace(t, "[0-9]", "")) >= 4) & t.rlike("^[0-9/-]*[/-][0-9/-]*$")
     code = (F.length(t) <= 10) & t.rlike(r"^[\p{IsAlphabetic}\p{N}]+$") & t.rlike("[0-9]")
     unit = t.rlike("[0-9]") & t.rlike("°|V|A|Hz|µ|pin")
     paren = F.contains(t, F.lit("(")) & F.contains(t, F.lit(")")) & t.rlike("[0-9]")

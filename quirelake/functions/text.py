@@ -39,6 +39,11 @@ def _starts(c: Column, prefixes: tuple[str, ...]) -> Column:
     return _any([F.startswith(c, F.lit(p)) for p in prefixes])
 
 
+def signs(c: Column, of: str) -> Column:
+    """How many characters are of a class (a pattern of one character): what goes without them. No array of matches is made."""
+    return F.length(c) - F.length(F.regexp_replace(c, of, ""))
+
+
 def is_caption_line(c: Column) -> Column:
     t = trim(c)
     return _starts(t, CAPTION_PREFIXES) | F.lower(t).rlike(r"^(figure|table) \s*[0-9(#]") | F.startswith(F.lower(t), F.lit("source:"))
@@ -63,8 +68,8 @@ def format_list_item(c: Column) -> Column:
 
 def is_code_like(c: Column) -> Column:
     t = trim(c)
-    signs = F.regexp_count(t, F.lit(r"[{}()\[\];=<>]"))
-    return _starts(t, CODE_PREFIXES) | ((signs >= 3) & (F.octet_length(t) < 200)) | t.rlike(r"[;{}]$")
+    marks = signs(t, r"[{}()\[\];=<>]")
+    return _starts(t, CODE_PREFIXES) | ((marks >= 3) & (F.octet_length(t) < 200)) | t.rlike(r"[;{}]$")
 
 
 def is_monospace_font(c: Column) -> Column:
@@ -152,23 +157,23 @@ def has_dot_leaders(c: Column) -> Column:
 
 def is_garbage_text(c: Column) -> Column:
     """At least 50 signs, white space and markdown marks apart, less than half of them letters or digits."""
-    good = F.regexp_count(c, F.lit(r"[\p{IsAlphabetic}\p{N}]"))
-    rest = F.regexp_count(c, F.lit(r"[^\s\x{85}\p{Z}#*|\-\p{IsAlphabetic}\p{N}]"))
+    good = signs(c, r"[\p{IsAlphabetic}\p{N}]")
+    rest = signs(c, r"[^\s\x{85}\p{Z}#*|\-\p{IsAlphabetic}\p{N}]")
     return (good + rest >= 50) & (good * 2 < good + rest)
 
 
 def is_cid_garbage(c: Column) -> Column:
-    total = F.regexp_count(c, F.lit(r"[^\s\x{85}\p{Z}]"))
-    control = F.regexp_count(c, F.lit(r"[\x{80}-\x{84}\x{86}-\x{9F}]"))
-    high = F.regexp_count(c, F.lit(r"[\x{A1}-\x{FF}]"))
-    letters = F.regexp_count(c, F.lit("[A-Za-z]"))
+    total = signs(c, r"[^\s\x{85}\p{Z}]")
+    control = signs(c, r"[\x{80}-\x{84}\x{86}-\x{9F}]")
+    high = signs(c, r"[\x{A1}-\x{FF}]")
+    letters = signs(c, "[A-Za-z]")
     return is_garbage_text(c) | ((total >= 5) & ((control * 20 >= total) | ((high * 5 >= total * 2) & (letters * 3 < total))))
 
 
 def detect_encoding_issues(c: Column) -> Column:
     """A replacement character, or dollars that stand for spaces."""
-    dollars = F.regexp_count(c, F.lit(r"\$"))
-    between = F.regexp_count(c, F.lit(r"(?<=[A-Za-z])\$(?=[A-Za-z])"))
+    dollars = signs(c, r"\$")
+    between = signs(c, r"(?<=[A-Za-z])\$(?=[A-Za-z])")
     return F.contains(c, F.lit("\ufffd")) | ((dollars > 10) & ((between > 20) | (between * 2 > dollars)))
 
 
@@ -179,8 +184,8 @@ def expand_ligatures(c: Column) -> Column:
 
 
 def is_rtl_text(c: Column) -> Column:
-    rtl = F.regexp_count(c, F.lit(r"[\x{590}-\x{8FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFC}]"))
-    other = F.regexp_count(c, F.lit(r"[\p{IsAlphabetic}&&[^\x{590}-\x{8FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFC}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}]]"))
+    rtl = signs(c, r"[\x{590}-\x{8FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFC}]")
+    other = signs(c, r"[\p{IsAlphabetic}&&[^\x{590}-\x{8FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFC}\x{3040}-\x{30FF}\x{3400}-\x{9FFF}\x{AC00}-\x{D7AF}]]")
     return (rtl > 0) & (rtl > other)
 
 
@@ -272,7 +277,7 @@ def score_text(c: Column) -> Column:
     """How plausible a decoded text is: 10 for a common word, 1 for a letter or digit, 2 for a space, less 2 for other signs
     (6 for control and replacement characters), less 15 for over 15 letters without a common word."""
     words = F.size(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: w.isin(*COMMON_WORDS)))
-    n = lambda p: F.regexp_count(c, F.lit(p))
+    n = lambda p: signs(c, p)
     letters = n(f"[A-Za-z{CJK}]")
     bad = n(r"[\x{0}-\x{1F}\x{7F}-\x{9F}\x{FFFD}]")
     other = F.length(c) - letters - n("[0-9 ]") - bad

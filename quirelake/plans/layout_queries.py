@@ -74,27 +74,14 @@ select doc, cast(island as bigint) island, min(o_orderkey) as first, count(*) pa
 
 
 def filled_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns 1..n of each conversation whose even ones went missing."""
-    c = table(spark, sf, "conversations")
-    n = c.groupBy("conv_id").agg((F.max("turn") + 1).cast("int").alias("n"))
-    some = c.where("turn % 2 = 0").join(n, "conv_id").select("conv_id", (F.col("turn") + 1).cast("int").alias("page"), F.col("role").alias("text"), F.col("turn").alias("ord"), "n")
-    return L.filled_pages(some, "conv_id", "n").select("conv_id", F.col("page").cast("long").alias("page"), "text")
-
-
-FILLED_PAGES = """
-with n as (select conv_id, max(turn) + 1 n from conversations group by 1 having min(turn % 2) = 0), e as (select conv_id, unnest(range(1, n + 1)) page from n)
-select e.conv_id, cast(page as bigint) page, coalesce(role, '') as text from e left join conversations c on c.conv_id = e.conv_id and c.turn + 1 = page and turn % 2 = 0"""
-
-
-def filled_pages_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """All turns of each conversation on every other page; fill_missing_pages and its SQL see the even turns only."""
+    """All turns of each conversation on every other page, with empty pages between."""
     c = table(spark, sf, "conversations")
     n = c.groupBy("conv_id").agg((F.max("turn") * 2 + 2).cast("int").alias("n"))
     spread = c.join(n, "conv_id").select("conv_id", (F.col("turn") * 2 + 1).cast("int").alias("page"), "text", F.col("turn").alias("ord"), "n")
     return L.filled_pages(spread, "conv_id", "n").select("conv_id", F.col("page").cast("long").alias("page"), "text")
 
 
-FILLED_PAGES_WHOLE = """
+FILLED_PAGES = """
 with e as (select conv_id, unnest(range(1, max(turn) * 2 + 3)) page from conversations group by conv_id)
 select e.conv_id, cast(page as bigint) page, coalesce(text, '') as text from e left join conversations c on c.conv_id = e.conv_id and c.turn * 2 + 1 = page"""
 
@@ -212,7 +199,6 @@ QUERIES = {
     "line_grouping_islands": (line_islands, LINE_ISLANDS),
     "continuation_merge": (continuation_merge, CONTINUATION_MERGE),
     "fill_missing_pages": (filled_pages, FILLED_PAGES),
-    "fill_missing_pages_whole": (filled_pages_whole, FILLED_PAGES_WHOLE),
     "grid_range_join": (grid_range, GRID_RANGE),
     "interval_overlap": (interval_overlap, INTERVAL_OVERLAP),
     "nearest_column": (nearest_column, NEAREST_COLUMN),

@@ -41,7 +41,8 @@ def files_of(rows: DataFrame, make: Callable) -> DataFrame:
         for b in (b.slice(lo, 256) for b in batches for lo in range(0, b.num_rows, 256)):
             yield pa.record_batch([b.column(0), pa.array([make(x) for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "content"])
 
-    return rows.select("doc_id", "data").mapInArrow(build, f"doc_id {id_type}, content binary")
+    # making and reading files takes long for few bytes: a row group's rows are dealt out
+    return rows.select("doc_id", "data").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(build, f"doc_id {id_type}, content binary")
 
 
 PAGE_ROWS, ROW_HIGH, COLS = 30, 20, (60.0, 180.0, 300.0, 460.0)

@@ -235,28 +235,19 @@ select doc_id, cast(w * 10 + l + s * 2 + d - (length(text) - l - s - d - b + b *
 
 
 def symbols_cleaned(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.concat(F.lit("\uf0b7\uf041\uf0fc "), F.substring("text", 1, 40))
-    return table(spark, sf, "documents").select("doc_id", T.clean_symbol_pua(t).alias("cleaned"), T.decode_text_string(F.encode(t, "UTF-16")).alias("decoded"))
-
-
-SYMBOLS_CLEANED = """select doc_id, '•A✓ ' || substr(text, 1, 40) cleaned, chr(61623) || chr(61505) || chr(61692) || ' ' || substr(text, 1, 40) decoded from documents"""
-
-
-def symbols_cleaned_whole(spark: SparkSession, sf: str) -> DataFrame:
-    """symbols_cleaned over whole texts, as digests and lengths; symbols_cleaned and its SQL see the first 40 characters only."""
+    """Symbol signs and marked UTF-16 over whole texts, as digests and lengths."""
     t = F.concat(F.lit("\uf0b7\uf041\uf0fc "), F.col("text"))
     both = table(spark, sf, "documents").select("doc_id", T.clean_symbol_pua(t).alias("c"), T.decode_text_string(F.encode(t, "UTF-16")).alias("d"))
     return both.select("doc_id", F.md5("c").alias("cleaned"), F.length("c").cast("long").alias("n_cleaned"), F.md5("d").alias("decoded"), F.length("d").cast("long").alias("n_decoded"))
 
 
-SYMBOLS_CLEANED_WHOLE = """
+SYMBOLS_CLEANED = """
 select doc_id, md5(c) cleaned, cast(length(c) as bigint) n_cleaned, md5(d) decoded, cast(length(d) as bigint) n_decoded
 from (select doc_id, '•A✓ ' || text c, chr(61623) || chr(61505) || chr(61692) || ' ' || text d from documents)"""
 
 QUERIES = {
     "decode_plausibility": (decode_plausibility, DECODE_PLAUSIBILITY),
     "symbols_cleaned": (symbols_cleaned, SYMBOLS_CLEANED),
-    "symbols_cleaned_whole": (symbols_cleaned_whole, SYMBOLS_CLEANED_WHOLE),
     "lines_classified": (lines_classified, LINES_CLASSIFIED),
     "garbage_quality": (garbage_quality, GARBAGE_QUALITY),
     "clean_markdown": (clean_markdown, CLEAN_MARKDOWN),

@@ -196,29 +196,33 @@ def xlsx_strings(docs: DataFrame) -> DataFrame:
     return _rows(docs, "idx int, value string", lambda c: enumerate(X.Styles(Package(c)).strings))
 
 
+def _cell_formats(package: Package) -> list[tuple[int, str | None]]:
+    """Of each cell style the number format and its code."""
+    root = package.xml("xl/styles.xml")
+    codes = {} if root is None else {int(e.get("numFmtId", "0")): e.get("formatCode", "") for e in root.iter() if e.tag.endswith("}numFmt")}
+    used = [int(xf.get("numFmtId", "0")) for group in (root if root is not None else ()) if group.tag.endswith("}cellXfs") for xf in group]
+    return [(fmt, codes.get(fmt)) for fmt in used]
+
+
 def xlsx_formats(docs: DataFrame) -> DataFrame:
     """The number format of each cell style: style, fmt, code."""
+    return _rows(docs, "style int, fmt int, code string", lambda c: ((i, *f) for i, f in enumerate(_cell_formats(Package(c)))))
 
-    def make(content: bytes):
-        package = Package(content)
-        root = package.xml("xl/styles.xml")
-        codes = {} if root is None else {int(e.get("numFmtId", "0")): e.get("formatCode", "") for e in root.iter() if e.tag.endswith("}numFmt")}
-        for group in root if root is not None else ():
-            if group.tag.endswith("}cellXfs"):
-                for i, xf in enumerate(group):
-                    fmt = int(xf.get("numFmtId", "0"))
-                    yield i, fmt, codes.get(fmt)
 
-    return _rows(docs, "style int, fmt int, code string", make)
+def xlsx_texts(docs: DataFrame, style_aware: bool = True, uses_1904: bool = False) -> DataFrame:
+    """(doc_id, sheet, row, col, text): what cells show. A workbook is opened once; its strings and formats are looked up where
+    it is read, and nothing is shuffled."""
 
+    def make(content: bytes):
+        package = Package(content)
+        strings, formats = X.Styles(package).strings, dict(enumerate(_cell_formats(package)))
+        for n, (_, part) in enumerate(X.sheet_parts(package), 1):
+            for seq, c in enumerate(X.sheet_cells(package.required(part))):
+                raw = c["raw"]
+                key = int(raw) if c["kind"] == "s" and raw and raw.isascii() and raw.isdigit() else -1
+                yield n, c["row"], c["col"], c["kind"], raw, c["inline"], strings[key] if 0 <= key < len(strings) else None, *formats.get(c["style"], (None, None)), seq
 
-def xlsx_texts(docs: DataFrame, style_aware: bool = True, uses_1904: bool = False) -> DataFrame:
-    """(doc_id, sheet, row, col, text): what cells show. The lookups are joins on doc_id, so that they stay beside their cells."""
-    cells = xlsx_cells(docs)
-    strings = xlsx_strings(docs).select("doc_id", F.col("idx").alias("key"), "value")
-    formats = xlsx_formats(docs)
-    key = F.when((F.col("kind") == "s") & F.col("raw").rlike("^[0-9]{1,9}$"), F.col("raw").try_cast("int"))
-    wide = cells.withColumn("key", key).join(strings, ["doc_id", "key"], "left").join(formats, ["doc_id", "style"], "left")
+    wide = _rows(docs, "sheet int, row int, col int, kind string, raw string, inline string, value string, fmt int, code string, seq int", make)
     wide = wide.withColumn("hint", N.format_hint(F.col("fmt"), F.coalesce("code", N.builtin_format(F.col("fmt"))))).withColumn("number", F.col("raw").try_cast("double"))
     hint, number = F.col("hint"), F.col("number")
     shown = N.render_number(F.col("raw"), hint, uses_1904) if style_aware else F.when(F.coalesce(hint["kind"] == "date", F.lit(False)), "").otherwise(F.col("raw"))

@@ -46,7 +46,7 @@ def test_query_matches_sql(spark, duck, name):
 def test_symbols_are_cleaned_to_the_end_of_a_text(spark, tmp_path):
     text = "x" * 100 + "\uf0b7 \uf041"
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = own.QUERIES["symbols_cleaned_whole"](spark, str(tmp_path)).first()
+    got = own.QUERIES["symbols_cleaned"](spark, str(tmp_path)).first()
     digest = lambda t: hashlib.md5(t.encode()).hexdigest()
     assert (got["cleaned"], got["n_cleaned"]) == (digest("•A✓ " + "x" * 100 + "• A"), 107)
     assert (got["decoded"], got["n_decoded"]) == (digest("\uf0b7\uf041\uf0fc " + text), 107)
@@ -54,5 +54,5 @@ def test_symbols_are_cleaned_to_the_end_of_a_text(spark, tmp_path):
 
 def test_every_turn_has_a_page(spark, tmp_path):
     spark.createDataFrame([(1, 0, "a", "x"), (1, 1, "b", "y"), (2, 1, "a", "z")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = sorted(tuple(r) for r in own.QUERIES["fill_missing_pages_whole"](spark, str(tmp_path)).collect())
+    got = sorted(tuple(r) for r in own.QUERIES["fill_missing_pages"](spark, str(tmp_path)).collect())
     assert got == [(1, 1, "x"), (1, 2, ""), (1, 3, "y"), (1, 4, ""), (2, 1, ""), (2, 2, ""), (2, 3, "z"), (2, 4, "")]
