@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,16 +17,20 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session on one machine (tests) gets
+    a temporary one, and any other an error: executors don't see each other's folders."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if root:
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            sc.setCheckpointDir(root)
-        return root
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quirelake-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    known = sc._jsc.sc().getCheckpointDir()
+    if root is None and known.isDefined():
+        return known.get()
+    if root is None:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="quirelake-")
+    if not known.isDefined():
+        sc.setCheckpointDir(root)
+    return root
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -37,6 +44,21 @@ def fan_out(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows // per_task))
 
 
+def lean(run: Callable) -> Callable:
+    """A function over batches that gives unused memory back at the end of its partition; workers are used again and again."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every system has it
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def text_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the len + 1 offsets into them; a null is an empty text."""
     if isinstance(col, pa.ChunkedArray):
@@ -151,28 +173,40 @@ def majority(counts: np.ndarray, total: np.ndarray) -> np.ndarray:
 SIEVE_BITS = 1 << 24
 
 
-def sieve(keys: DataFrame, key: str) -> DataFrame:
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while f"__{name}".lower() in taken:
+        name += "_"
+    return f"__{name}"
+
+
+def sieve(keys: DataFrame, key: str, bucket: str, bitmap: str) -> DataFrame:
     """A table of bitmaps (bucket, bitmap) of the keys (longs) to broadcast, bounded by SIEVE_BITS / 8 bytes."""
     at = F.pmod(F.col(key), F.lit(SIEVE_BITS)) + 1
-    return keys.groupBy(F.bitmap_bucket_number(at).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("__bitmap"))
+    return keys.groupBy(F.bitmap_bucket_number(at).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bitmap))
 
 
 def sift(df: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of df whose key may be among the keys (all that are, and few others), and the rest; neither is shuffled.
 
-    A later join on the key then moves the first part only."""
-    bits = F.broadcast(sieve(keys, key))  # at most SIEVE_BITS / 8 bytes
+    A later join on the key then moves the first part only. Columns of df keep their values, whatever their names."""
+    bucket, bitmap, spot, hit = (unused(df, c) for c in ("bucket", "bitmap", "spot", "hit"))
+    bits = F.broadcast(sieve(keys, key, bucket, bitmap))  # at most SIEVE_BITS / 8 bytes
     at = F.pmod(F.col(key), F.lit(SIEVE_BITS)) + 1
-    spot = F.bitmap_bit_position(at)
-    marked = df.withColumn("__bucket", F.bitmap_bucket_number(at)).withColumn("__spot", spot).join(bits, "__bucket", "left")
-    byte = F.conv(F.hex(F.expr("substring(__bitmap, cast(__spot div 8 + 1 as int), 1)")), 16, 10).cast("int")
-    hit = F.coalesce(F.expr("shiftright(__byte, cast(__spot % 8 as int)) & 1") == 1, F.lit(False))
-    marked = marked.withColumn("__byte", byte).withColumn("__hit", hit)
-    return marked.where("__hit").select(*df.columns), marked.where("not __hit").select(*df.columns)
+    marked = df.withColumn(bucket, F.bitmap_bucket_number(at)).withColumn(spot, F.bitmap_bit_position(at)).join(bits, bucket, "left")
+    byte = F.conv(F.hex(F.expr(f"substring(`{bitmap}`, cast(`{spot}` div 8 + 1 as int), 1)")), 16, 10).cast("int")
+    marked = marked.withColumn(hit, F.coalesce(byte.bitwiseAND(F.expr(f"shiftleft(1, cast(`{spot}` % 8 as int))")) != 0, F.lit(False)))
+    return marked.where(F.col(hit)).select(*quoted(df)), marked.where(~F.col(hit)).select(*quoted(df))
+
+
+def quoted(df: DataFrame) -> list[str]:
+    """The columns of df, as select takes them whatever signs they hold."""
+    return [f"`{c.replace('`', '``')}`" for c in df.columns]
 
 
 def without(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """The rows of df whose key is not among the keys; only rows that the sieve lets through are shuffled."""
     keys = keys.select(key).distinct()
     maybe, rest = sift(df, key, keys)
-    return rest.unionByName(maybe.join(keys, key, "left_anti").select(*df.columns))
+    return rest.unionByName(maybe.join(keys, key, "left_anti").select(*quoted(df)))

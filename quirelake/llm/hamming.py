@@ -18,12 +18,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fan_out, mix
+from .common import cut, fan_out, lean, mix
 
 #: Microseconds for a probed row (made, shuffled, sorted) and for a compared pair.
 ROW_US, PAIR_US = 1.5, 0.003
-#: Rows of a run that are compared where they are; a larger run is cut in chunks of this size whose pairs are dealt out.
-RUN_ROWS = 131_072
+#: Rows of a run that are compared in one task; a larger run is cut in chunks of this size whose pairs are dealt out.
+RUN_ROWS = 65_536
+#: Values (rows by columns) that a task holds.
+TASK_VALUES = 1 << 22
+#: Rows of a run whose pairs are listed together with those of other small runs, and pairs that are listed at once.
+FEW, PAIRS = 128, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -56,7 +60,7 @@ def bit_statistics(fps: DataFrame, fp: str = "fp") -> tuple[int, np.ndarray]:
             i, j = np.triu_indices(64)
             yield pa.record_batch([pa.array([-1, *(i * 64 + j)], pa.int32()), pa.array([n, *both[i, j]], pa.int64())], ["cell", "n"])
 
-    found = {r["cell"]: r["n"] for r in fps.select(fp).mapInArrow(sums, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    found = {r["cell"]: r["n"] for r in fps.select(fp).mapInArrow(lean(sums), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
     both = np.zeros((64, 64), np.int64)
     for cell, n in found.items():
         if cell >= 0:
@@ -100,8 +104,11 @@ def _within(block: tuple[int, ...], flips: np.ndarray, t: int) -> float:
     return float(dist[: t + 1].sum())
 
 
-def plan(n: int, both: np.ndarray, radius: int, near: float = 1.0) -> Plan:
-    """The cheapest partitions and thresholds for n fingerprints. near: the share of pairs that other columns leave over."""
+def plan(n: int, both: np.ndarray, radius: int, pairs: float | None = None) -> Plan:
+    """The cheapest partitions and thresholds for n rows. pairs: how many could meet, where other columns of the run's key
+    leave fewer than all of them over."""
+    pairs = n * n / 2 if pairs is None else pairs
+    met = 2 * pairs / max(n, 1)
     p = both.diagonal() / max(n, 1)
     flips = 2 * p * (1 - p)
     best: tuple[float, Plan] | None = None
@@ -115,8 +122,8 @@ def plan(n: int, both: np.ndarray, radius: int, near: float = 1.0) -> Plan:
             costs = []
             for t in range(-1, min(most, len(block)) + 1):
                 reach = 2 * ((t + 1) // 2) if t > 0 else t
-                chunks = -(-n * _ball(len(block), t) >> len(block)) // RUN_ROWS  # those of a run that is dealt out again
-                costs.append((t, n * _ball(len(block), t) * (1 + chunks) * ROW_US + n * n / 2 * near * _within(block, flips, reach) * PAIR_US))
+                chunks = int(met * _ball(len(block), t) / (1 << len(block))) // RUN_ROWS  # a hot run sends each row to all its chunks
+                costs.append((t, n * _ball(len(block), t) * (1 + chunks) * ROW_US + pairs * _within(block, flips, reach) * PAIR_US))
             now: dict[int, tuple[float, tuple[int, ...]]] = {}
             for s, (c, ts) in dp.items():
                 for t, cost in costs:
@@ -149,106 +156,86 @@ def probe_keys(fp: np.ndarray, p: Plan) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(idx), np.concatenate(keys)) if idx else (own[:0], fp[:0])
 
 
-def met_before(diff: np.ndarray, p: Plan, k: int) -> np.ndarray:
-    """Whether fingerprints that differ so meet in a partition before the k-th: their pair belongs to that one's run."""
-    out = np.zeros(len(diff), bool)
-    for block, t in zip(p.blocks[:k], p.thresholds[:k], strict=True):
-        if t >= 0:
-            mask = np.uint64(sum(1 << b for b in block))
-            out |= np.bitwise_count(diff & mask) <= 2 * ((t + 1) // 2)
-    return out
-
-
-def _pieces(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
-    for lo in range(0, batch.num_rows, rows):
-        yield batch.slice(lo, rows)
-
-
-def run_pairs(rows: DataFrame, columns: list[tuple[str, str]], compare: Callable, out: str, spark_rows: int, run_rows: int = RUN_ROWS) -> tuple[DataFrame, Callable]:
-    """Meets rows of equal run key. compare(cols, boxes, defer, partition) gives the record batches for the boxes (lo, hi,
-    lo2, hi2), rows [lo, hi) against [lo2, hi2) of one run, or within [lo, hi) where both are the same; partition: the
-    number of the plan's partition that the run belongs to.
-
-    Returns what the first pass gives (with column chunk: null for results) and a function that makes the second pass
-    from its cut rows: a run of over run_rows rows is dealt out as pairs of chunks."""
-    names = [c for c, _ in columns]
-    schema = ", ".join(f"{c} {t}" for c, t in columns)
-
-    def load(batches: Iterator[pa.RecordBatch], key: str) -> dict[str, np.ndarray] | None:
-        parts = [[b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in [key, *names]] for b in batches if b.num_rows]
-        if not parts:
-            return None
-        cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        order = np.lexsort((cols[1], cols[0]))
-        return {c: x[order] for c, x in zip([key, *names], cols, strict=True)}
-
-    def runs(key: np.ndarray) -> Iterator[tuple[int, int]]:
-        cuts = np.flatnonzero(np.diff(key)) + 1
-        lo = np.concatenate([[0], cuts])
-        hi = np.concatenate([cuts, [len(key)]])
-        for i in np.flatnonzero(hi - lo > 1):
-            yield int(lo[i]), int(hi[i])
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = load(batches, "key")
-        if cols is None:
-            return
-        key = cols.pop("key")
-        for lo, hi in runs(key):
-            if hi - lo <= run_rows:
-                yield from compare(cols, [(lo, hi, lo, hi)], None, int(key[lo]) & 31)
-                continue
-            m = -(-(hi - lo) // run_rows)
-            for c in range(m):
-                at = slice(lo + c * run_rows, min(lo + (c + 1) * run_rows, hi))
-                for d in range(m):
-                    a, b = min(c, d), max(c, d)
-                    pair = mix(np.array([key[lo]], np.int64).view(np.uint64) + np.uint64(a * 1_000_003 + b))
-                    pair = (pair & ~np.uint64(31)) | np.uint64(int(key[lo]) & 31)
-                    yield from compare(cols, [], (at, pair.view(np.int64)[0], int(c > a)), 0)
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
+def chunks_of(node: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Deals out the rows of hot runs before they land: a run of m chunks becomes one run for each pair of chunks.
+
+    Returns, for every row that is sent, the index of the given row, the lesser and the greater chunk of its pair, and its side."""
+    many = np.flatnonzero(chunks > 1)
+    one = np.flatnonzero(chunks <= 1)
+    m = chunks[many]
+    idx = np.repeat(many, m)
+    other = (np.arange(len(idx)) - np.repeat(np.cumsum(m) - m, m)).astype(np.int64)
+    own = (mix(node[idx].view(np.uint64)) % np.maximum(chunks[idx], 1).astype(np.uint64)).astype(np.int64)
+    zero = np.zeros(len(one), np.int64)
+    return (
+        np.concatenate([one, idx]),
+        np.concatenate([zero, np.minimum(own, other)]),
+        np.concatenate([zero, np.maximum(own, other)]),
+        np.concatenate([zero, (own > other).astype(np.int64)]),
+    )
+
+
+def chunk_key(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The key of the run of a pair of chunks; a run that is not cut keeps its own. The number of its partition stays."""
+    cut = mix(key ^ mix((low * 1_000_003 + high + 1).astype(np.uint64)))
+    return np.where(high > 0, (cut & ~np.uint64(31)) | (key & np.uint64(31)), key)
+
+
+def _few(edge: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (a, b), b before a, of all rows of the given runs, some runs at a time."""
+    size = np.diff(edge)[own]
+    for part in np.split(own, np.searchsorted(np.cumsum(size * (size - 1) // 2), np.arange(PAIRS, int((size * (size - 1) // 2).sum()) + 1, PAIRS))):
+        lo, size = edge[part], np.diff(edge)[part]
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        start = np.repeat(lo, size)
+        a = np.repeat(start + place, place)
+        b = np.repeat(start, place) + np.arange(len(a)) - np.repeat(np.cumsum(place) - place, place)
+        if len(a):
+            yield a, b
+
+
+def run_pairs(rows: DataFrame, order: str, few: Callable, many: Callable, out: str, n_rows: int) -> DataFrame:
+    """Meets rows of equal run key. rows has the columns key and side (longs) and others, also longs; the rows of a run, and
+    of each of its sides, stand in the order of a column. few(cols, a, b) gives the record batches of index pairs of many small
+    runs at once; many(cols, box) those of a larger one: box (lo, hi, lo2, hi2) is rows [lo, hi) against [lo2, hi2), or
+    within [lo, hi) where both are the same. A run with both sides is one pair of chunks."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
         if not parts:
             return
-        t = pa.Table.from_batches(parts)
-        key, side = t["pair"].to_numpy(), t["side"].to_numpy()
-        own = {c: t[c].to_numpy() for c in names}
-        order = np.lexsort((own[names[0]], side, key))
-        key, side, own = key[order], side[order], {c: x[order] for c, x in own.items()}
-        for lo, hi in runs(key):
-            mid = lo + int(np.searchsorted(side[lo:hi], 1))
-            yield from compare(own, [(lo, hi, lo, hi)] if mid == hi else [(lo, mid, mid, hi)], None, int(key[lo]) & 31)
-
-    n = fan_out(rows.sparkSession, spark_rows, 1_000_000)
-    found = rows.repartition(n, "key").mapInArrow(first, f"{out}, {schema}, pair long, side int")
-
-    def rest(cut_rows: DataFrame) -> DataFrame:
-        hot = cut_rows.where("pair is not null").select(*names, "pair", "side")
-        return hot.repartition(n, "pair").mapInArrow(second, f"{out}, {schema}, pair long, side int")
-
-    return found, rest
-
-
-class Forest:
-    """Union-find over what a task has seen, so that it sends links that join something only."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        top = x
-        while (y := self.up.get(top, top)) != top:
-            top = y
-        while (y := self.up.get(x, x)) != top:
-            self.up[x], x = top, y
-        return top
-
-    def join(self, x: int, y: int) -> bool:
-        a, b = self.root(x), self.root(y)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-        return a != b
+        cols = {c: np.concatenate(x) for c, x in zip(names, zip(*parts, strict=True), strict=True)}
+        del parts
+        at = np.lexsort((cols[order], cols["side"], cols["key"]))
+        cols = {c: x[at] for c, x in cols.items()}
+        key = cols["key"]
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
+        size, two = np.diff(edge), np.add.reduceat(cols["side"], edge[:-1]) > 0
+        small = (size > 1) & (size <= FEW) & ~two
+        for a, b in _few(edge, np.flatnonzero(small)):
+            yield from few(cols, a, b)
+        for i in np.flatnonzero((size > 1) & ~small):
+            lo, hi = int(edge[i]), int(edge[i + 1])
+            mid = lo + int(np.searchsorted(cols["side"][lo:hi], 1))
+            if mid > lo:
+                yield from many(cols, (lo, hi, lo, hi) if mid == hi else (lo, mid, mid, hi))
+
+    return rows.repartition(fan_out(rows.sparkSession, n_rows, TASK_VALUES // len(names)), "key").mapInArrow(lean(run), out)
+
+
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after a and b are joined pair by pair; a label is the least index of its class."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        x, y = x[apart], y[apart]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (np.not_equal(nxt := label[label], label)).any():
+            label = nxt
 
 
 def close_pairs(fp: np.ndarray, box: tuple[int, int, int, int], radius: int, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -267,41 +254,52 @@ def close_pairs(fp: np.ndarray, box: tuple[int, int, int, int], radius: int, ste
                 yield x, y
 
 
-def links(fps: DataFrame, radius: int, fp: str = "fp") -> DataFrame:
+def links(fps: DataFrame, radius: int, fp: str = "fp", run_rows: int = RUN_ROWS) -> DataFrame:
     """Links (u, v) with u < v whose connected components are those of all pairs of the distinct fingerprints in column
-    fp (long) that differ in at most radius bits. Links that join nothing new within a task are left out."""
-    from .common import cut
+    fp (long) that differ in at most radius bits. Links that join nothing new within a run are left out.
 
+    Runs are counted before they land; one of over run_rows rows is dealt out as pairs of chunks."""
     n, both = bit_statistics(fps, fp)
     p = plan(n, both, radius)
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in _pieces(b, 1 << 15):
-                x = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo in range(0, b.num_rows, 1 << 15):
+                x = b.column(0).slice(lo, 1 << 15).to_numpy(zero_copy_only=False).astype(np.int64)
                 idx, key = probe_keys(x.view(np.uint64), p)
                 yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(x[idx])], ["key", "fp"])
 
-    names = ["u", "v", "fp", "pair", "side"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-
-    def compare(cols: dict[str, np.ndarray], boxes: list, defer: tuple | None, partition: int) -> Iterator[pa.RecordBatch]:
-        if defer:
-            at, pair, side = defer
-            k = at.stop - at.start
-            yield pa.record_batch([pa.nulls(k, pa.int64())] * 2 + [pa.array(cols["fp"][at]), pa.array(np.full(k, pair)), pa.array(np.full(k, side, np.int32))], names)
-        f = cols["fp"].view(np.uint64)
-        for box in boxes:
-            forest, us, vs = Forest(), [], []
-            for x, y in close_pairs(f, box, radius):
-                for a, b in zip(cols["fp"][x].tolist(), cols["fp"][y].tolist(), strict=True):
-                    if a != b and forest.join(a, b):
-                        us.append(min(a, b))
-                        vs.append(max(a, b))
-            if us:
-                yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())] + [pa.nulls(len(us), t) for t in types[2:]], names)
-
-    rows = fps.select(fp).mapInArrow(probes, "key long, fp long")
-    found, rest = run_pairs(rows, [("fp", "long")], compare, "u long, v long", n * p.rows)
-    found = cut(found)
-    return found.where("u is not null").select("u", "v").unionByName(rest(found).select("u", "v")).distinct()
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 1 << 12):
+                key, x, n = (c.to_numpy(zero_copy_only=False) for c in b.slice(lo, 1 << 12).columns)
+                idx, low, high, side = chunks_of(x, n)
+                yield pa.record_batch([pa.array(chunk_key(key[idx].view(np.uint64), low, high).view(np.int64)), pa.array(side), pa.array(x[idx])], ["key", "side", "fp"])
+
+    def joined(x: np.ndarray, label: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = np.flatnonzero(label != np.arange(len(label)))
+        u, v = x[at], x[label[at]]
+        at = u != v
+        yield pa.record_batch([pa.array(np.maximum(u, v)[at]), pa.array(np.minimum(u, v)[at])], ["v", "u"])
+
+    def few(cols: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lo, hi = int(b[0]), int(a[-1]) + 1
+        x = cols["fp"][lo:hi]
+        a, b = a - lo, b - lo
+        near = np.bitwise_count((x[a] ^ x[b]).view(np.uint64)) <= radius
+        yield from joined(x, merge(np.arange(hi - lo), a[near], b[near]))
+
+    def many(cols: dict[str, np.ndarray], box: tuple) -> Iterator[pa.RecordBatch]:
+        lo, hi = min(box[0], box[2]), max(box[1], box[3])
+        label = np.arange(hi - lo)
+        for x, y in close_pairs(cols["fp"].view(np.uint64), box, radius):
+            label = merge(label, x - lo, y - lo)
+        yield from joined(cols["fp"][lo:hi], label)
+
+    rows = fps.select(fp).mapInArrow(lean(probes), "key long, fp long")
+    if n > run_rows:  # else no run can be that large
+        hot = rows.groupBy("key").count().where(F.col("count") > run_rows).select("key", F.ceil(F.col("count") / run_rows).cast("long").alias("chunks"))
+        rows = rows.join(cut(hot), "key", "left").select("key", "fp", F.coalesce("chunks", F.lit(1)).cast("long").alias("chunks")).mapInArrow(lean(deal), "key long, side long, fp long")
+    else:
+        rows = rows.select("key", F.lit(0).cast("long").alias("side"), "fp")
+    return run_pairs(rows, "fp", few, many, "v long, u long", n * p.rows).select("u", "v").distinct()

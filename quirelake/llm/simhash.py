@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut
+from .common import cut, lean
 from .components import components
 from .hamming import links
 
@@ -49,7 +49,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
             fp = [fingerprint(t.as_py(), words) for t in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array(np.array(fp, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, fp long")
 
 
 def classes(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -57,7 +57,7 @@ def classes(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
     root = components(links(distinct, radius)).withColumnRenamed("node", "fp")
     least = distinct.join(root, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    label = least.groupBy("root").agg(F.min("first").alias("component_id"))
+    label = cut(least.groupBy("root").agg(F.min("first").alias("component_id")))  # so that the join on a root that many have can be split
     by_fp = least.select("fp", "root").join(label, "root").select("fp", "component_id")
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
