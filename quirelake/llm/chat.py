@@ -19,6 +19,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import lean
+
 HEAD, END = "### ", "</turn>"
 _CONFLICT = re.compile(r"^(\\*(?:### |</turn>))", re.M)
 _ESCAPED = re.compile(r"^\\(\\*(?:### |</turn>))", re.M)
@@ -106,7 +108,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
             yield pa.record_batch([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([m[0] for m in mask], pa.int64()), pa.array([m[1] for m in mask], pa.int64())], names)
 
     own = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "conv_id long, turn long, role string, text string, rendered string, loss_from long, loss_to long")
+    return own.mapInArrow(lean(run), "conv_id long, turn long, role string, text string, rendered string, loss_from long, loss_to long")
 
 
 def read_back(turns: DataFrame) -> DataFrame:
@@ -149,4 +151,4 @@ def read_back(turns: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "rendered", "loss_from", "loss_to").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return ordered.select("conv_id", "rendered", "loss_from", "loss_to").mapInArrow(lean(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

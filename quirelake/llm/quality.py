@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import slices, span_hashes, text_bytes, word_spans
+from .common import lean, slices, span_hashes, text_bytes, word_spans
 from .crf import Chain, fit, marginals
 
 #: The most labelled documents that the fit takes, and the most bytes of text of each label among them.
@@ -195,7 +195,7 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, id_col:
                 part = b.slice(i, j - i)
                 yield pa.record_batch([*part.columns[:-1], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*keep, "score", "predicted"])
 
-    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(run, f"{schema}, score double, predicted int")
+    return docs.select(*keep, F.col(text_col).cast("string").alias("__text")).mapInArrow(lean(run), f"{schema}, score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

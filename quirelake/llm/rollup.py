@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .common import lean
 from .tokens import default_paths, encoder, texts
 
 GROUP = ["source", "lang", "version"]
@@ -36,7 +37,7 @@ def counted(docs: DataFrame, version: str, paths: tuple[str, str | None] | None
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), n], ["source", "lang", "chars", "tokens"])
 
     own = docs.select(F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "source string, lang string, chars long, tokens long").select("source", "lang", F.lit(version).alias("version"), F.lit(1).cast("long").alias("docs"), "chars", "tokens")
+    return own.mapInArrow(lean(run), "source string, lang string, chars long, tokens long").select("source", "lang", F.lit(version).alias("version"), F.lit(1).cast("long").alias("docs"), "chars", "tokens")
 
 
 def estimated(docs: DataFrame, version: str = "estimate", chars: int = 4) -> DataFrame:

@@ -6,10 +6,11 @@ space, so a text is cut there and each piece is encoded once for as long as it i
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from struct import pack
 
 import numpy as np
@@ -17,7 +18,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Pieces that are remembered, the first that are seen, and the longest of them; others are encoded each time.
-PIECES, PIECE_CHARS = 250_000, 48
+PIECES, PIECE_CHARS = 120_000, 48
 _CUT, _ODD = re.compile(r" (?=\S)"), re.compile(r" (?:\s|\Z)")
 
 
@@ -31,10 +32,9 @@ class Encoder:
     """encode(text): the ids as little-endian unsigned 32-bit numbers, equal to those of tokenizers for the JSON file."""
 
     def __init__(self, vocabulary: str, ranks: str | None) -> None:
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(vocabulary)
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        with open(vocabulary, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f).get("added_tokens", [])]
+        self.vocabulary = vocabulary
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
         self.fast = None
@@ -47,6 +47,13 @@ class Encoder:
             self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
             self.marks = {m: self._plain(m) for m in ".,;:!?"}
 
+    @cached_property
+    def whole(self):
+        """The tokenizer itself, for texts that its special tokens may cut; loaded when the first is met."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.vocabulary)
+
     def _plain(self, text: str) -> bytes:
         return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
