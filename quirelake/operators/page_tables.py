@@ -11,7 +11,7 @@ from collections import Counter
 import numpy as np
 
 from .pages import cleaned, cluster_rects, clusters, kept, structure_cells, table_from_lines
-from .reading import by_direction, centre, columns as page_columns, effective_width, is_newspaper, line_text, line_up, right, should_join
+from .reading import by_direction, centre, columns as page_columns, effective_width, is_newspaper, is_numeric, line_text, line_up, right, should_join
 
 Cells = list[list[str]]
 
@@ -455,6 +455,20 @@ def recover_header(t: dict, items: list[dict], small: float) -> dict:
     return table(t["columns"], [max(low, tops[-1]), *rows], cells, t["items"] + [k for c in head for k in c])
 
 
+def add_labels(t: dict, items: list[dict], candidates: list[int], taken: set[int]) -> dict:
+    """A table of two or three columns of numbers (70 % of five rows or more) with the free texts to its left as its first column,
+    if two fifths of the rows have one."""
+    own = [c for r in t["cells"] for c in r if c.strip()]
+    if not 2 <= len(t["columns"]) <= 3 or len(t["rows"]) < 5 or sum(is_numeric({"text": c}) for c in own) < 0.7 * len(own):
+        return t
+    free = [k for k in candidates if k not in taken and k not in t["items"] and items[k]["x"] < t["columns"][0] - 10]
+    labels = [sorted((k for k in free if abs(items[k]["y"] - y) < 5), key=lambda k: items[k]["x"]) for y in t["rows"]]
+    if not any(labels) or sum(map(bool, labels)) < len(t["rows"]) * 2 // 5:
+        return t
+    cells = [[" ".join(items[k]["text"] for k in ks), *r] for ks, r in zip(labels, t["cells"])]
+    return table([min(items[k]["x"] for ks in labels for k in ks), *t["columns"]], t["rows"], cells, t["items"] + [k for ks in labels for k in ks])
+
+
 def text_tables(items: list[dict], base: float, skip_body: bool = False) -> list[dict]:
     """Tables without rules: first of text smaller than 0.9 x the body size, then of body size in stricter regions."""
     if len(items) < 6:
@@ -471,7 +485,7 @@ def text_tables(items: list[dict], base: float, skip_body: bool = False) -> list
         inside = [k for k in small if lo <= own[k]["y"] <= hi]
         t = region_table(own, inside, False) if len(inside) >= 6 else None
         if t:
-            t = recover_header(t, own, 0.9 * base)
+            t = add_labels(recover_header(t, own, 0.9 * base), own, inside, taken)
             taken.update(t["items"])
             out.append(t)
     body = [] if skip_body else [k for k, i in enumerate(own) if k not in taken and max(6, 0.85 * base) <= i["font_size"] <= 1.05 * base]

@@ -539,7 +539,7 @@ def page_reading(items: list[dict], threshold: float = TIGHT, has_table: bool =
 # ---- bands of a page ---------------------------------------------------------------------------------------------------
 
 
-def _numeric(item: dict) -> bool:
+def is_numeric(item: dict) -> bool:
     t = item["text"].strip()
     return bool(t) and sum(c in "0123456789,.-+%€$£¥()" for c in t) >= 0.6 * len(t)
 
@@ -563,7 +563,7 @@ def side_by_side(items: list[dict]) -> list[Span]:
     if over(x) > max(n // 20, 2):
         return []
     left, rest = [i for i, m in zip(items, middles) if m < x], [i for i, m in zip(items, middles) if m >= x]
-    share = lambda s: sum(map(_numeric, s)) / len(s)
+    share = lambda s: sum(map(is_numeric, s)) / len(s)
     if left and rest and share(left) < 0.3 and share(rest) >= 0.7:
         heights = np.sort([i["y"] for i in left])
         beside = sum(np.searchsorted(heights, i["y"] - 5, "right") < np.searchsorted(heights, i["y"] + 5) for i in rest)

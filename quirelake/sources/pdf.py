@@ -372,7 +372,7 @@ ONE = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 def page_items(doc: Document, page: dict, invisible: bool = False) -> dict:
     """text items (text, x, y, width, font, font_size, bold, italic, mcid), rects, clips, segments and counts of a page, as the
     stream has them."""
-    out = {"items": [], "rects": [], "clips": [], "segments": [], "text_ops": 0, "images": 0, "path_ops": 0, "turned": 0, "level": 0, "signs": set()}
+    out = {"items": [], "rects": [], "clips": [], "segments": [], "text_ops": 0, "images": 0, "pixels": [], "path_ops": 0, "turned": 0, "level": 0, "signs": set()}
     contents = doc.get(page.get("Contents"))
     streams = [doc.get(c) for c in contents] if isinstance(contents, list) else [contents]
     data = b"\n".join(doc.decoded(s) for s in streams if isinstance(s, Stream))
@@ -601,6 +601,8 @@ def _interpret(doc: Document, data: bytes, resources: dict, ctm: tuple, out: dic
             if isinstance(form, Stream):
                 if form.info.get("Subtype") == "Image":
                     out["images"] += 1
+                    w, h = doc.get(form.info.get("Width")), doc.get(form.info.get("Height"))
+                    out["pixels"].append(w * h if isinstance(w, int) and isinstance(h, int) else 0)
                 elif depth < MAX_DEPTH:
                     matrix = tuple(float(doc.get(x)) for x in doc.get(form.info.get("Matrix")) or ONE)
                     _interpret(doc, doc.decoded(form), doc.get(form.info.get("Resources")) or resources, _times(matrix, g["ctm"]), out, invisible, depth + 1)
@@ -635,19 +637,39 @@ def content(doc: Document, invisible: bool = False) -> list[dict]:
     return out
 
 
+def is_background(page: dict) -> bool:
+    """Whether a page is an image with little text: half a million pixels in one image or two million in all, at most one image,
+    under 50 texts of under ten different letters and digits, unless ten texts or more are in fonts that say something."""
+    large = any(n >= 500_000 for n in page["pixels"]) or sum(page["pixels"]) >= 2_000_000
+    letters = sum(chr(c).isascii() and chr(c).isalnum() for c in page["signs"])
+    told = any(i["known"] for i in page["items"]) and page["text_ops"] >= 10
+    return large and page["images"] <= 1 and page["text_ops"] < 50 and letters < 10 and not told
+
+
+def is_outlined(page: dict) -> bool:
+    """Whether a page's text is drawn as paths."""
+    letters = sum(chr(c).isascii() and chr(c).isalnum() for c in page["signs"])
+    return page["path_ops"] >= 1000 and page["path_ops"] > 200 * page["text_ops"] and letters < 30
+
+
 def classify(pages: list[dict]) -> tuple[str, float, list[int]]:
     """What a document is, how sure that is, and the pages that need to be read from their image."""
     n = len(pages)
-    textual = [p["text_ops"] >= (10 if p["images"] else 3) and len(p["signs"]) >= 5 and not (p["images"] > 10 and p["images"] > 3 * p["text_ops"]) for p in pages]
+    every = list(range(1, n + 1))
+    textual = [p["text_ops"] >= (10 if p["images"] else 3) and len(p["signs"]) >= 5 and not (p["images"] > 10 and p["images"] > 3 * p["text_ops"]) and not is_outlined(p) for p in pages]
     ratio = sum(textual) / n if n else 0.0
-    images, shown = any(p["images"] for p in pages), any(p["text_ops"] for p in pages)
+    images, outlined, shown = any(p["images"] for p in pages), any(map(is_outlined, pages)), any(p["text_ops"] for p in pages)
+    scans = sum(map(is_background, pages))
+    unread = [k for k, p in enumerate(pages, 1) if is_background(p) or is_outlined(p) or p["text_ops"] < 3 and p["images"]]
+    if scans and any(textual):
+        return "Mixed", 0.5 + 0.3 * (1 - scans / n), unread
     if ratio >= 0.6:
         return "TextBased", ratio, []
-    if not any(textual) and images:
-        return ("ImageBased", 0.8, list(range(1, n + 1))) if shown else ("Scanned", 0.95, list(range(1, n + 1)))
-    if images:
-        return "Mixed", 0.7, [k for k, p in enumerate(pages, 1) if p["text_ops"] < 3 and p["images"]]
-    return ("TextBased", max(ratio, 0.5), []) if shown else ("Scanned", 0.9, list(range(1, n + 1)))
+    if not any(textual) and (images or outlined):
+        return ("ImageBased", 0.8, every) if shown or outlined else ("Scanned", 0.95, every)
+    if any(textual) and (images or outlined):
+        return "Mixed", 0.7, unread
+    return ("TextBased", max(ratio, 0.5), []) if shown else ("Scanned", 0.9, every)
 
 
 def _visible(text: str) -> str:

@@ -211,6 +211,24 @@ def test_text_tables():
     assert [round(c) for c in T.column_bounds(items, True)] == [50, 170, 290]
 
 
+def test_labels_beside_numbers():
+    items = [item(t, x, 700 - 15 * r, size=8) for r in range(6) for t, x in ((f"label {r}", 50), (str(1200 + r), 250), (str(77 + r), 350))]
+    t = T.table([250, 350], [700 - 15 * r for r in range(6)], [[str(1200 + r), str(77 + r)] for r in range(6)], [k for k in range(18) if k % 3])
+    got = T.add_labels(t, items, list(range(18)), set())
+    assert got["cells"][2] == ["label 2", "1202", "79"] and len(got["items"]) == 18
+    assert T.add_labels(t, items, list(range(18)), {k for k in range(18) if k % 3 == 0}) == t
+
+
+def test_kinds_of_documents():
+    text = {"text_ops": 60, "images": 0, "pixels": [], "signs": set(range(97, 120)), "path_ops": 0, "items": [{"known": True}]}
+    scan = text | {"text_ops": 4, "images": 1, "pixels": [900_000], "signs": set(range(97, 103))}
+    drawn = text | {"text_ops": 1, "path_ops": 5000, "signs": {97}}
+    kind = lambda *pages: pdf.classify(list(pages))
+    assert kind(text, text) == ("TextBased", 1.0, []) and kind(text, scan) == ("Mixed", 0.65, [2])
+    assert kind(drawn, drawn) == ("ImageBased", 0.8, [1, 2]) and kind(text | {"text_ops": 0, "images": 1, "signs": set()}) == ("Scanned", 0.95, [1])
+    assert kind(text, drawn, drawn) == ("Mixed", 0.7, [2, 3]) and kind(text | {"text_ops": 2, "signs": {97}}) == ("TextBased", 0.5, [])
+
+
 def test_tagged_tables():
     items = [item(t, x, y, mcid=k) for k, (t, x, y) in enumerate([("h1", 50, 700), ("h2", 150, 700), ("a", 50, 680), ("b", 150, 680), ("only right", 150, 660)])]
     cell = lambda k: {"header": False, "mcids": [(k, 1)]}
