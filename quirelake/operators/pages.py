@@ -1,7 +1,7 @@
-"""Pages of positioned texts: running headers, lines, columns, page classes, headings and ruled or aligned tables.
+"""Pages of positioned texts as rows: running headers, body sizes, margins, page classes, regions; and what tables are made of.
 
-Items are rows (doc_id, page, idx, text, x, y, width, font, font_size); what compares with the state so far (lines, cells of a
-grid) runs on one page at a time, what counts over a document is a DataFrame aggregate."""
+Lines are rows of reading.reading_lines; what counts over a document is a DataFrame aggregate, what compares with the state so
+far (cells of a grid) runs on one page at a time."""
 
 from __future__ import annotations
 
@@ -13,76 +13,6 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.text import is_caption_line, is_list_item, normalize_for_comparison
 
-LINES = "page int, line_no int, text string, x double, y double, x2 double, font_size double, items int"
-
-
-def group_lines(items: list[dict], apart: float = 3.0) -> list[dict]:
-    """Items in reading order (down, then right) as lines: the same baseline as the line's first item, within 3 points.
-
-    If over 40 % of the steps between items (three at least, of five items or more) go up by over 50 points, the order of the
-    stream is not the reading order and items are sorted by place; otherwise it is kept."""
-    up = sum(b["y"] - a["y"] > 50 for a, b in zip(items, items[1:]))
-    if len(items) >= 5 and up >= 3 and up > 0.4 * (len(items) - 1):
-        items = sorted(items, key=lambda i: (-i["y"], i["x"]))
-    rows: list[list[dict]] = []
-    for it in items:
-        row = rows[-1] if rows else None
-        if row and abs(row[0]["y"] - it["y"]) <= apart and it["x"] >= row[-1]["x"]:
-            row.append(it)
-        else:
-            rows.append([it])
-    rows.sort(key=lambda r: -round(r[0]["y"] / apart))
-    out = []
-    for row in rows:
-        row.sort(key=lambda i: i["x"])
-        text = row[0]["text"]
-        for a, b in zip(row, row[1:]):
-            gap = b["x"] - a["x"] - a["width"]
-            text += (" " if gap > 0.15 * b["font_size"] and not text.endswith(" ") and not b["text"].startswith(" ") else "") + b["text"]
-        out.append({"text": text.strip(), "x": row[0]["x"], "y": row[0]["y"], "x2": row[-1]["x"] + row[-1]["width"], "font_size": max(i["font_size"] for i in row), "items": len(row)})
-    return out
-
-
-def column_edges(items: list[dict], step: float = 2.0) -> list[tuple[float, float]]:
-    """Up to four columns of a page: what low valleys of the horizontal occupancy part. Under 20 items, or on a page under
-    200 points wide, there is one."""
-    if not items:
-        return []
-    lo, hi = min(i["x"] for i in items), max(i["x"] + i["width"] for i in items)
-    if len(items) < 20 or hi - lo < 200:
-        return [(lo, hi)]
-    bins = np.zeros(int((hi - lo) / step) + 2, np.int64)
-    for i in items:
-        if i["width"] <= 0.6 * (hi - lo):
-            bins[int((i["x"] - lo) / step) : int((i["x"] + i["width"] - lo) / step) + 1] += 1
-    low = bins <= 0.15 * bins.max()
-    edges, start = [], 0
-    for j in range(1, len(bins)):
-        if low[j] and not low[j - 1]:
-            start = j
-        if not low[j] and low[j - 1] and j - start >= 8 / step and start > 0:
-            edges.append(lo + (start + j) / 2 * step)
-    cuts = [lo, *edges[:3], hi]
-    parts = list(zip(cuts, cuts[1:]))
-    inside = [sum(a <= i["x"] < b or (b == hi and i["x"] >= a) for i in items) for a, b in parts]
-    return parts if all(n >= (10 if len(parts) == 2 else 3) for n in inside) else [(lo, hi)]
-
-
-def page_lines(items: DataFrame) -> DataFrame:
-    """(doc_id, page, line_no, text, x, y, x2, font_size, items): a page at a time."""
-    id_type = items.schema["doc_id"].dataType.simpleString()
-
-    def run(key, t):
-        own = t.sort_by("idx").select(["text", "x", "y", "width", "font_size"]).to_pylist()
-        edges = column_edges(own)
-        lines = [x for k, (a, b) in enumerate(edges) for x in group_lines([i for i in own if (a <= i["x"] or k == 0) and (i["x"] < b or k + 1 == len(edges))])]
-        n = len(lines)
-        cols = [pa.array([key[0].as_py()] * n, t.schema.field("doc_id").type), pa.array([key[1].as_py()] * n, pa.int32()), pa.array(range(n), pa.int32())]
-        cols += [pa.array([x[c] for x in lines], pa.string() if c == "text" else pa.int32() if c == "items" else pa.float64()) for c in ("text", "x", "y", "x2", "font_size", "items")]
-        return pa.table(cols, ["doc_id", "page", "line_no", "text", "x", "y", "x2", "font_size", "items"])
-
-    return items.groupBy("doc_id", "page").applyInArrow(run, f"doc_id {id_type}, {LINES}")
-
 
 def without_repeated_lines(lines: DataFrame, share: float = 0.3, least: int = 3, edge: int = 3) -> DataFrame:
     """Lines without running headers and footers: those among the first or last three of a page whose text, numbers at its
@@ -209,15 +139,6 @@ def classified(pages: DataFrame) -> DataFrame:
     return of.select("doc_id", kind.alias("classification"), sure.alias("confidence"), "page_count", "pages_needing_ocr")
 
 
-def heading_level(size: float, base: float, tiers: list[float]) -> int | None:
-    """The tier within half a point; without tiers by the ratio to the body size."""
-    for i, t in enumerate(tiers):
-        if abs(t - size) <= 0.5:
-            return i + 1
-    ratio = size / base
-    return None if tiers or ratio < 1.2 else 1 if ratio >= 2 else 2 if ratio >= 1.5 else 3 if ratio >= 1.25 else 4
-
-
 def kept(values: list[float], apart: float) -> list[float]:
     out: list[float] = []
     for v in sorted(values):
@@ -255,43 +176,6 @@ def clusters(values: list[float], apart: float) -> list[float]:
     return [sum(c) / len(c) for c in out]
 
 
-def table_from_text(items: list[dict]) -> list[list[str]] | None:
-    """A table without rules: rows of items whose left edges fall into the same columns; at least 3 rows and 2 columns,
-    of which three quarters of the items stand within 30 points."""
-    if len(items) < 6:
-        return None
-    size = float(np.median([i["font_size"] for i in items]))
-    ys = clusters([-i["y"] for i in items], max(0.8 * size, 4))
-    xs = clusters([i["x"] for i in items], 25)
-    if len(ys) < 3 or not 2 <= len(xs) <= 25:
-        return None
-    grid = [[[] for _ in xs] for _ in ys]
-    near = 0
-    for it in sorted(items, key=lambda i: i["x"]):
-        c = min(range(len(xs)), key=lambda j: abs(xs[j] - it["x"]))
-        r = min(range(len(ys)), key=lambda j: abs(ys[j] + it["y"]))
-        near += abs(xs[c] - it["x"]) <= 30
-        grid[r][c].append(it["text"].strip())
-    out = [[" ".join(c) for c in r] for r in grid]
-    wide = sum(sum(bool(c) for c in r) >= 2 for r in out)
-    return out if near >= 0.75 * len(items) and wide >= 0.7 * len(out) else None
-
-
-def is_key_value(cells: list[list[str]]) -> bool:
-    """Labels with a value rather than a table (page_tables)."""
-    from .page_tables import is_key_value as rule
-
-    return rule(cells)
-
-
-def is_contents(cells: list[list[str]]) -> bool:
-    """A table of contents: half of its rows end in a page number after dots or in a cell of its own."""
-    rows = [[c for c in r if c] for r in cells]
-    rows = [r for r in rows if r]
-    hits = sum(re.search(r"\.{3,}\s*[0-9ivx]+$", " ".join(r)) is not None or (len(r) >= 2 and re.fullmatch(r"[0-9]{1,4}", r[-1]) is not None and re.match(r"[0-9]+(\.[0-9]+)*\s|[A-Z]", r[0]) is not None) for r in rows)
-    return len(rows) >= 3 and hits >= 0.5 * len(rows)
-
-
 def cleaned(cells: list[list[str]]) -> tuple[list[list[str]], list[str]]:
     """Rows without empty ones, continuations joined to the row before, footnotes apart."""
     out: list[list[str]] = []
@@ -309,23 +193,6 @@ def cleaned(cells: list[list[str]]) -> tuple[list[list[str]], list[str]]:
     return out, notes
 
 
-def table_markdown(cells: list[list[str]]) -> str:
-    """A compact pipe table; contents as lines of title, tab, page; footnotes below."""
-    rows, notes = cleaned(cells)
-    if not rows:
-        return ""
-    if is_contents(rows):
-        lines = []
-        for r in rows:
-            text = " ".join(c for c in r if c)
-            m = re.match(r"(.*?)[\s.]*([0-9ivx]+)$", text)
-            lines.append(f"{m[1].strip()}\t{m[2]}" if m else text)
-    else:
-        esc = lambda c: c.replace("|", "\\|").replace("\n", " ")
-        lines = ["|" + "|".join(map(esc, rows[0])) + "|", "|" + "---|" * len(rows[0]), *("|" + "|".join(map(esc, r)) + "|" for r in rows[1:])]
-    return "\n".join([*lines, *([""] + notes if notes else [])])
-
-
 def structure_cells(tokens: list[str]) -> list[dict]:
     """Rows, columns and spans of the cells that table-structure tokens (`<tr>`, `<td`, ` rowspan="2"`, `>`, `</td>`) name."""
     out: list[dict] = []

@@ -1,21 +1,21 @@
 """Positioned texts: lines, columns, running headers, classes and tables."""
 
-from quirelake.operators import pages as P
+from quirelake.operators import page_tables as T, pages as P, reading as R
 
 
 def item(text, x, y, width=30.0, size=10.0, **more):
-    return {"text": text, "x": float(x), "y": float(y), "width": width, "font_size": size} | more
+    return {"text": text, "x": float(x), "y": float(y), "width": width, "font": "F", "font_size": size} | more
 
 
 def test_lines():
-    got = P.group_lines([item("a", 10, 100, 5), item("b", 40, 101, 5), item("c", 10, 80, 5)])
-    assert [x["text"] for x in got] == ["a b", "c"] and got[0]["items"] == 2
-    assert P.group_lines([item("ab", 10, 100, 10), item("c", 20.5, 100, 5)])[0]["text"] == "abc"
+    got = R.line_up([item("a", 10, 100, 5), item("b", 40, 101, 5), item("c", 10, 80, 5)])
+    assert [x["text"] for x in got] == ["a b", "c"] and len(got[0]["items"]) == 2
+    assert R.line_up([item("ab", 10, 100, 10), item("c", 20.5, 100, 5)])[0]["text"] == "abc"
 
 
 def test_columns():
     two = [item("w", x, 700 - 12 * i, 150) for i in range(15) for x in (50, 330)]
-    assert len(P.column_edges(two)) == 2 and len(P.column_edges(two[:6])) == 1 and P.column_edges([]) == []
+    assert len(R.columns(two)) == 2 and len(R.columns(two[:6])) == 1 and R.columns([]) == []
 
 
 def test_running_headers(spark):
@@ -37,19 +37,19 @@ def test_tables():
     cells = [item(f"{c}{r}", 20 + 100 * c, 95 - 20 * r, 20) for r in range(3) for c in range(3)]
     rules = [(x, 40, x, 110) for x in (10, 110, 210, 310)] + [(10, y, 310, y) for y in (110, 90, 70, 50)]
     assert P.table_from_lines(cells, rules) == [["00", "10", "20"], ["01", "11", "21"], ["02", "12", "22"]]
-    assert P.table_from_text(cells) == [["00", "10", "20"], ["01", "11", "21"], ["02", "12", "22"]]
-    assert P.table_from_lines(cells, rules[:3]) is None and P.table_from_text(cells[:4]) is None
-    assert P.table_markdown([["a", "b|c"], ["1", "2"], ["", "3"], ["(1) note", ""]]) == "|a|b\\|c|\n|---|---|\n|1|2 3|\n\n(1) note"
-    assert P.table_markdown([["Intro ....... 3", ""], ["Body ....... 7", ""], ["End ....... 9", ""]]) == "Intro\t3\nBody\t7\nEnd\t9"
-    assert P.is_key_value([["Name:", "x", ""], ["Age:", "4", ""], ["Town:", "z", ""]]) and not P.is_key_value([["1", "2", "3"]] * 3)
+    assert P.table_from_lines(cells, rules[:3]) is None and T.text_tables(cells[:4], 10) == []
+    assert T.rule_table(cells, rules)["cells"][1] == ["01", "11", "21"]
+    made = T.table([0, 1], [3, 2, 1, 0], [["a", "b"], ["1", "2"], ["", "3"], ["(1) note", ""]], [])
+    assert T.markdown(made) == "|a|b|\n|---|---|\n|1|2 3|\n\n(1) note\n"
+    assert T.is_key_value([["Name:", "x", ""], ["Age:", "4", ""], ["Town:", "z", ""]]) and not T.is_key_value([["1", "2", "3"]] * 3)
     got = P.structure_cells(["<tr>", "<td", ' rowspan="2"', ">", "</td>", "<td></td>", "</tr>", "<tr>", "<td></td>", "</tr>"])
     assert [(c["row"], c["col"], c["rowspan"]) for c in got] == [(0, 0, 2), (0, 1, 1), (1, 1, 1)]
-    assert [P.heading_level(s, 10, t) for s, t in ((18, [18.2, 14]), (14, [18, 14]), (20, []), (11, []), (13, []))] == [1, 2, 1, None, 3]
+    assert [R.size_level(s, 10, t) for s, t in ((18, [18.2, 14]), (14, [18, 14]), (20, []), (11, []), (13, []))] == [1, 2, 1, None, 3]
 
 
 def test_pages_as_rows(spark):
     items = spark.createDataFrame([(1, 1, i, w, 10.0 + 40 * (i % 2), 700.0 - 20 * (i // 2), 30.0, "F", 10.0) for i, w in enumerate("abcdef")], "doc_id int, page int, idx int, text string, x double, y double, width double, font string, font_size double")
-    assert [r["text"] for r in P.page_lines(items).orderBy("line_no").collect()] == ["a b", "c d", "e f"]
+    assert [r["text"] for r in R.reading_lines(items).orderBy("line_no").collect()] == ["a b", "c d", "e f"]
     regions = spark.createDataFrame([(1, 1, 7, 0.0, 675.0, 45.0, 695.0)], "doc_id int, page int, region int, x1 double, y1 double, x2 double, y2 double")
     assert [r["text"] for r in P.items_in_regions(items, regions).orderBy("idx").collect()] == ["c"]
 
