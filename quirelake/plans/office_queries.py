@@ -119,7 +119,26 @@ def changed_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 CHANGED_DOCUMENTS = "select o_custkey doc_id, 1 gone, 0 made from orders group by o_custkey"
 
+
+def diff_balances(spark: SparkSession, sf: str) -> DataFrame:
+    """By how many lines a turn is longer than the one before it, as their unified diff has it, and whether it has any line."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("conv_id").orderBy("turn")
+    c = table(spark, sf, "conversations")
+    pairs = c.select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), F.coalesce(F.lag("text").over(w), F.lit("")).alias("a"), F.col("text").alias("b"))
+    lines = F.split("diff", "\n")
+    # the first two lines of a diff name its sides
+    of = lambda sign: F.size(F.filter(F.slice(lines, 3, 1 << 30), lambda x: x.startswith(sign)))
+    return S.diffs(pairs, 0).select("doc_id", (of("+") - of("-")).cast("long").alias("longer"), (F.col("diff") == "").alias("same"))
+
+
+DIFF_BALANCES = """
+with t as (select conv_id || '-' || turn doc_id, text b, lag(text) over (partition by conv_id order by turn) a from conversations)
+select doc_id, cast(len(string_split(b, chr(10))) - case when a is null then 0 else len(string_split(a, chr(10))) end as bigint) longer, coalesce(a, '') = b same from t"""
+
 QUERIES = {
+    "diff_balances": (diff_balances, DIFF_BALANCES),
     "docx_letters": (docx_letters, DOCX_LETTERS),
     "docling_letters": (docling_letters, DOCLING_LETTERS),
     "pptx_decks": (pptx_decks, PPTX_DECKS),
