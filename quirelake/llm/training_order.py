@@ -1,17 +1,19 @@
 """Token-id shards in training order.
 
-Documents are tokenized, ended by end_id, laid end to end within a task and cut into sequences of `stride` ids. A sequence's
-index (its task's number times TASK_SEQUENCES, plus its own number there) goes through a keyed Feistel permutation of all
-possible indices, walking the cycle while it leaves that domain. The result orders the sequences at random; it is the same
-for the same key and input. Ranges of it make the shards, each written by one task as a file of fixed-stride records in
-order, so that a reader may start at any record. A sequence's global slot is its rank: the records of all shards before,
-plus its place in its own. Indices that no sequence has leave no gap.
+Documents are tokenized, ended by end_id, laid end to end within a task and cut into sequences of `stride` ids, which are
+staged in the shared folder once. Then their number is known exactly: a sequence's index is how many stand in the tasks
+before it, plus its own number there, and a keyed Feistel permutation of the numbers below that count, which walks the cycle
+while it leaves them, gives its global slot. Ranges of slots make the shards, each written by one task as a file of
+fixed-stride records in order, so that slot s is record s % shard_records of shard s // shard_records and a reader may start
+or go on at any slot. The order is the same for the same key and input.
 
-Files are written under a temporary name and renamed, so a task that runs again leaves the same file.
+Files are written under a temporary name and renamed, so a task that runs again leaves the same file; what failed attempts
+leave, and the staged rows, are removed at the end.
 
 Defined results for odd input: a null or empty text has the end id only; rows that repeat a doc_id are written each; a null
 doc_id is kept; the last sequence of a task is padded with end_id, its true length being in the manifest; further columns
-are ignored; an empty table writes no shard and gives no rows."""
+are ignored; an id that doesn't fit the width (bytes of an id) is an error; an empty table writes no shard and gives no
+rows."""
 
 from __future__ import annotations
 
@@ -20,17 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import cut, mix
+from .common import cut, fan_out, lean, mix
 from .tokens import default_paths, encoder, texts
 
-STRIDE, END_ID, KEY = 2048, 50256, 20240229
-#: The most sequences that a task may make.
-TASK_SEQUENCES = 1 << 26
+STRIDE, END_ID, KEY, WIDTH = 2048, 50256, 20240229, 2
+#: Bytes of a shard, where there are more of them than shuffle partitions.
+SHARD_BYTES = 256 << 20
 ROUNDS = 6
-SCHEMA = "shard int, place long, length int, ids_crc32 long, first_doc_id long, first_start long"
 
 
 def feistel(x: np.ndarray, key: int, bits: int) -> np.ndarray:
@@ -53,51 +55,66 @@ def permuted(x: np.ndarray, key: int, n: int) -> np.ndarray:
     return out
 
 
-def sequences(docs: DataFrame, stride: int, end_id: int, key: int, shards: int, paths: tuple[str, str | None]) -> DataFrame:
-    """(shard, x, length, first_doc_id, first_start, ids): the sequences, ids as unsigned 16-bit numbers, padded."""
-    tasks = max(1, docs.rdd.getNumPartitions())
-    domain = tasks * TASK_SEQUENCES
-    names = ["shard", "x", "length", "first_doc_id", "first_start", "ids"]
+def sequences(docs: DataFrame, stride: int, end_id: int, width: int, paths: tuple[str, str | None]) -> DataFrame:
+    """(task, number, length, first_doc_id, first_start, ids): the sequences of each task, ids of `width` bytes, padded."""
+    names = ["task", "number", "length", "first_doc_id", "first_start", "ids"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    kind = np.dtype(f"<u{width}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(*paths), np.array([end_id], "<u2").tobytes()
+        enc, end = encoder(*paths), np.array([end_id], kind).tobytes()
         context = TaskContext.get()
-        base, made = (context.partitionId() if context else 0) * TASK_SEQUENCES, 0
+        task, number = context.partitionId() if context else 0, 0
         rest, first = b"", (None, 0)  # ids that are still to be cut, the document of the first and its place there
         out: list[tuple] = []
 
-        def batch() -> pa.RecordBatch:
-            nonlocal made
-            if made + len(out) > TASK_SEQUENCES:
-                raise ValueError("a task has too many sequences; read the input in more partitions")
-            x = permuted(np.arange(base + made, base + made + len(out)), key, domain)
-            made += len(out)
-            shard = [int(v) * shards // domain for v in x.tolist()]
-            cols = list(zip(*out, strict=True))
-            return pa.record_batch([pa.array(shard, pa.int32()), pa.array(x.view(np.int64)), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], names)
+        def add(length: int, ids: bytes) -> None:
+            nonlocal number
+            out.append((task, number, length, *first, ids))
+            number += 1
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
-                ids = np.frombuffer(enc.encode(text), "<u4").astype("<u2").tobytes() + end
+                own = np.frombuffer(enc.encode(text), "<u4")
+                if width < 4 and len(own) and int(own.max()) >> (8 * width):
+                    raise ValueError(f"an id doesn't fit {width} bytes")
                 if not rest:
                     first = (doc_id, 0)
-                at = -(len(rest) // 2)  # where the ids begin, in the document
-                rest += ids
-                cut_to = len(rest) // (2 * stride) * 2 * stride
-                for lo in range(0, cut_to, 2 * stride):
-                    out.append((stride, *first, rest[lo : lo + 2 * stride]))
-                    first = (doc_id, at + lo // 2 + stride)
+                at = -(len(rest) // width)  # where the ids begin, in the document
+                rest += own.astype(kind).tobytes() + end
+                cut_to = len(rest) // (width * stride) * width * stride
+                for lo in range(0, cut_to, width * stride):
+                    add(stride, rest[lo : lo + width * stride])
+                    first = (doc_id, at + lo // width + stride)
                 rest = rest[cut_to:]
                 if len(out) >= 1024:
-                    yield batch()
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
                     out = []
         if rest:
-            out.append((len(rest) // 2, *first, rest + end * (stride - len(rest) // 2)))
+            add(len(rest) // width, rest + end * (stride - len(rest) // width))
         if out:
-            yield batch()
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "shard int, x long, length int, first_doc_id long, first_start long, ids binary")
+    return own.mapInArrow(lean(run), "task long, number long, length int, first_doc_id long, first_start long, ids binary")
+
+
+def slots(staged: DataFrame, counts: dict[int, int], key: int, per_shard: int) -> DataFrame:
+    """The staged rows with their slot and shard, ids compressed one by one for the shuffle. counts: the sequences of each task."""
+    tasks = sorted(counts)
+    first = np.zeros(tasks[-1] + 1, np.int64)  # a number for each task
+    first[tasks] = np.cumsum([0, *(counts[t] for t in tasks[:-1])])
+    total = sum(counts.values())
+    held = staged.sparkSession.sparkContext.broadcast(first)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            index = held.value[b.column(0).to_numpy()] + b.column(1).to_numpy()
+            slot = permuted(index, key, total).astype(np.int64)
+            yield pa.record_batch([pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), *b.columns[2:5], pa.array([pack.compress(x) for x in b.column(5).to_pylist()], pa.binary())], ["shard", "slot", *b.schema.names[2:]])
+
+    return staged.mapInArrow(lean(run), "shard int, slot long, length int, first_doc_id long, first_start long, ids binary")
 
 
 def _open(folder: str):
@@ -110,19 +127,39 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:06d}.bin"
 
 
-def write_shards(docs: DataFrame, folder: str, shards: int | None = None, stride: int = STRIDE, end_id: int = END_ID, key: int = KEY, paths: tuple[str, str | None] | None = None) -> DataFrame:
+def _sweep(spark: SparkSession, folder: str) -> None:
+    """Removes the staged rows and what failed attempts left behind."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for f in fs.listStatus(path(folder)) if fs.exists(path(folder)) else ():
+        if f.getPath().getName().startswith("_") or f.getPath().getName() == "staged":
+            fs.delete(f.getPath(), True)
+
+
+def write_shards(
+    docs: DataFrame, folder: str, shards: int | None = None, stride: int = STRIDE, end_id: int = END_ID, key: int = KEY, width: int = WIDTH, paths: tuple[str, str | None] | None = None
+) -> DataFrame:
     """Writes the shards to a folder that all machines share. A row for each sequence: slot, shard, place (its record in the
     file), length, ids_crc32 (of the record), first_doc_id, first_start (the document's ids before it)."""
-    shards = shards or max(1, docs.rdd.getNumPartitions())
-    made = sequences(docs, stride, end_id, key, shards, paths or default_paths())
-    names = ["shard", "place", "length", "ids_crc32", "first_doc_id", "first_start"]
+    spark = docs.sparkSession
+    names = ["slot", "shard", "place", "length", "ids_crc32", "first_doc_id", "first_start"]
+    schema = "slot long, shard int, place long, length int, ids_crc32 long, first_doc_id long, first_start long"
+    sequences(docs, stride, end_id, width, paths or default_paths()).write.mode("overwrite").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(f"{folder}/staged")
+    staged = spark.read.parquet(f"{folder}/staged")
+    counts = {r["task"]: r["n"] for r in staged.groupBy("task").agg(F.count("*").alias("n")).collect()}  # a row for each task
+    total = sum(counts.values())
+    if not total:
+        _sweep(spark, folder)
+        return spark.createDataFrame([], schema)
+    shards = shards or fan_out(spark, total, max(1, SHARD_BYTES // (width * stride)))
+    per_shard = -(-total // shards)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _open(folder)
-        store.create_dir(root, recursive=True)
         context = TaskContext.get()
         attempt = context.taskAttemptId() if context else 0
-        shard, place, sink = None, 0, None
+        unpack = zstandard.ZstdDecompressor()
+        shard, sink = None, None
 
         def close() -> None:
             if sink is not None:
@@ -131,29 +168,29 @@ def write_shards(docs: DataFrame, folder: str, shards: int | None = None, stride
 
         for b in batches:
             rows = []
-            for s, length, doc, start, ids in zip(*(b.column(i).to_pylist() for i in (0, 2, 3, 4, 5)), strict=True):
+            for s, slot, length, doc, start, ids in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if s != shard:
                     close()
                     shard, place = s, 0
                     sink = store.open_output_stream(f"{root}/_{attempt}-{shard_name(s)}")
+                if slot != s * per_shard + place:
+                    raise ValueError(f"slot {slot} is not the next of shard {s}")
+                ids = unpack.decompress(ids)
                 sink.write(ids)
-                rows.append((s, place, length, zlib.crc32(ids), doc, start))
+                rows.append((slot, s, place, length, zlib.crc32(ids), doc, start))
                 place += 1
             if rows:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names)
         close()
 
-    ordered = made.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "x")
-    manifest = cut(ordered.mapInArrow(run, SCHEMA))
-    # a row for each shard
-    sizes = sorted((r["shard"], r["n"]) for r in manifest.groupBy("shard").agg(F.count("*").alias("n")).collect())
-    before = np.concatenate([[0], np.cumsum([n for _, n in sizes])]).tolist()
-    starts = docs.sparkSession.createDataFrame([(s, b) for (s, _), b in zip(sizes, before[:-1], strict=True)], "shard int, before long")
-    return manifest.join(F.broadcast(starts), "shard").select((F.col("before") + F.col("place")).alias("slot"), *names)
+    ordered = slots(staged, counts, key, per_shard).repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
+    manifest = cut(ordered.mapInArrow(lean(run), schema))
+    _sweep(spark, folder)
+    return manifest
 
 
-def read_records(folder: str, shard: int, place: int, count: int = 1, stride: int = STRIDE) -> np.ndarray:
+def read_records(folder: str, shard: int, place: int, count: int = 1, stride: int = STRIDE, width: int = WIDTH) -> np.ndarray:
     """Records of a shard, from a place on."""
     store, root = _open(folder)
     with store.open_input_file(f"{root}/{shard_name(shard)}") as f:
-        return np.frombuffer(f.read_at(2 * stride * count, 2 * stride * place), "<u2").reshape(-1, stride)
+        return np.frombuffer(f.read_at(width * stride * count, width * stride * place), f"<u{width}").reshape(-1, stride)
