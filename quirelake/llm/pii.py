@@ -9,7 +9,6 @@ whole, in time linear in their length."""
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import lean
 from .crf import Chain, fit, viterbi
 
 KINDS = ("email", "ip", "card", "phone")
@@ -119,6 +119,28 @@ LABELLED = (
     "pages 120-134 of volume 12",
     "a 4x4 grid of 16 cells, 100% full",
     "room b12 and gate a7 are shut",
+    "7 7 7 7 7 7 7 7 7 7 7 7",
+    "7 7 7 7 7 7 7 7 [phone 555-867-5309]",
+    "17 17 17 17 17 17 [phone +49 30 5550 1234]",
+    "12 40 33 18 25 [phone +1 (168) 555-5254] now",
+    "and then [phone +49 30 5550 1234] was said",
+    "or else [phone +44 20 7946 0958] for us",
+    "0 1 1 0 1 0 0 1 1 1 0 1",
+    "3 14 15 92 65 35 89 79 32 38",
+    "12 7 105 33 8 41 260 19 4",
+    "101 245 388 412 560 677 803 914",
+    "2017 2018 2019 2020 2021 2022",
+    "1200 1350 4821 9077 2214 3306",
+    "88213 90177 45120 77003 61250",
+    "1234567 2345678 3456789 4567890",
+    "0.5 1.25 3.75 10.0 22.5 41.75",
+    "1,200 3,450 17,800 2,005",
+    "12% 35% 8% 45%",
+    "2021-01-04 17.2 18.9 1013 55",
+    "row 4: 12 | 250 | 31 | 7 | 0",
+    "1 200 30 4 50 600 [phone 212-555-0147]",
+    "scores 21 17 25 23 15 12",
+    "matrix 1 0 0 0 1 0 0 0 1",
     "x1 + y2 = 42 and f(3) = 9",
 )
 
@@ -127,7 +149,7 @@ def shape(word: str) -> str:
     """Letters as a or A, digits as 0, a run of one kind as its sign and length class."""
     out, i = [], 0
     kind = lambda c: "0" if c in "0123456789" else "A" if c.isupper() else "a" if c.isalpha() else c
-    while i < len(word) and i < 256:
+    while i < len(word):
         k, j = kind(word[i]), i
         while j < len(word) and kind(word[j]) == k:
             j += 1
@@ -281,7 +303,7 @@ def _left(text: str, at: int, piece: bool) -> tuple[int, str]:
     while b > 0 and (text[b - 1] in STOPS if piece else text[b - 1] in " \t"):
         b -= 1
     a = b
-    while a > 0 and b - a < 64 and not text[a - 1].isspace() and not (piece and text[a - 1] in STOPS):
+    while a > 0 and not text[a - 1].isspace() and not (piece and text[a - 1] in STOPS):
         a -= 1
     return a, text[a:b]
 
@@ -292,7 +314,7 @@ def _right(text: str, at: int) -> str:
     while a < len(text) and (text[a] in STOPS if piece else text[a] in " \t"):
         a += 1
     b = a
-    while b < len(text) and b - a < 64 and not text[b].isspace() and not (piece and text[b] in STOPS):
+    while b < len(text) and not text[b].isspace() and not (piece and text[b] in STOPS):
         b += 1
     return text[a:b]
 
@@ -337,11 +359,14 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (KINDS.index(s[0]), s[1])))
 
 
-def _found(batch_texts: list[str | None]) -> Iterator[tuple[str, list[Span], list[Span]]]:
-    for lo in range(0, len(batch_texts), 512):
-        part = [t or "" for t in batch_texts[lo : lo + 512]]
-        base = [base_spans(t) for t in part]
-        yield from zip(part, base, added_spans(part, base), strict=True)
+#: Documents that are decoded together.
+STEP = 512
+
+
+def _found(texts: list[str | None]) -> Iterator[tuple[str, list[Span], list[Span]]]:
+    part = [t or "" for t in texts]
+    base = [base_spans(t) for t in part]
+    yield from zip(part, base, added_spans(part, base), strict=True)
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -350,12 +375,12 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     as_rows = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in spans]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(lo, STEP) for b in batches for lo in range(0, b.num_rows, STEP)):
             found = list(_found(b.column(1).to_pylist()))
             yield pa.record_batch([b.column(0), pa.array([as_rows(x) for _, x, _ in found], span), pa.array([as_rows(x) for _, _, x in found], span)], ["doc_id", "base", "added"])
 
     kind = "array<struct<kind:string,start:bigint,end:bigint>>"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id long, base {kind}, added {kind}")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), f"doc_id long, base {kind}, added {kind}")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -385,11 +410,11 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = schema.fieldNames().index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(lo, STEP) for b in batches for lo in range(0, b.num_rows, STEP)):
             raw = b.column(at).to_pylist()
             new = [t if t is None else masked(t, x + y) for t, (_, x, y) in zip(raw, _found(raw), strict=True)]
             cols = list(b.columns)
             cols[at] = pa.array(new, b.column(at).type)
             yield pa.record_batch(cols, b.schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
