@@ -1,10 +1,11 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a run of words that ends with its line, or before that after a word whose hash says so (one in four), so
-that an edit changes the paragraphs around it only. Each digest, with its number among equal ones, is dealt to one cell of
+A paragraph is a line, or a part of a longer one that ends after a word whose hash says so (one in LINE_WORDS), so that an
+edit changes the paragraphs around it only. Each digest, with its number among equal ones, is dealt to one cell of
 each of three tables; a cell holds a count, the exclusive or of the digests, and that of their checks. The sketches of two
-versions subtract, and peeling cells that hold one digest recovers those that differ, many pairs at a time in numpy; pairs
-that don't peel are retried with sketches four times as large.
+versions subtract, and peeling cells that hold one digest recovers those that differ, many pairs at a time in numpy. The
+fingerprints themselves, of CELLS cells, are subtracted first; pairs that don't peel are retried with larger sketches, and
+those that don't at LAST cells for each digest (equal places of different digests) are compared digest by digest.
 
 Defined results for odd input: a null or empty text, or one without words, has an empty sketch; two empty sketches have
 likeness 1; the next document of a row is the one after it by doc_id (nulls first), then text, so rows that repeat a doc_id
@@ -20,13 +21,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType, BooleanType
 
-from .common import fan_out, mix, span_hashes, text_bytes, word_spans
+from .common import fan_out, lean, mix, span_hashes, text_bytes, word_spans
 
 #: Cells of a fingerprint, and how often the cells of a sketch that doesn't peel are doubled.
-CELLS, GROWTH = 12, 2
-#: Cells for each digest of both at the first try: half of an edited text differs, mostly all of the next text.
+CELLS, GROWTH = 12, 1
+#: Cells for each digest of both at the first retry: half of an edited text differs, mostly all of the next text.
 EDITED, NEXT = 0.75, 1.5
-CELL = np.dtype([("n", "<i2"), ("key", "<u8"), ("check", "<u4")])
+#: Cells for each digest of both from which on no retry is made.
+LAST = 16
+#: Words of a part of a long line, on average.
+LINE_WORDS = 8
+CELL = np.dtype([("n", "<i4"), ("key", "<u8"), ("check", "<u4")])
 
 
 def paragraphs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,7 +42,7 @@ def paragraphs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     words = span_hashes(raw, starts, ends)
     feeds = np.concatenate([[0], np.cumsum(raw == 10)])
-    last = (words & np.uint64(3)) == 0
+    last = (words & np.uint64(LINE_WORDS - 1)) == 0
     last[:-1] |= feeds[starts[1:]] > feeds[ends[:-1]]
     last[first[1:][np.diff(first) > 0] - 1] = True
     stop = np.flatnonzero(last) + 1
@@ -118,12 +123,13 @@ def take(keys: np.ndarray, at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray
 
 
 def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], cells: int = CELLS, share: float = 0.0) -> np.ndarray:
-    """How many digests differ between the sets of each row of a and b. share: cells for each digest of both at the first
-    try, for versions that are known to differ much; tries start at `cells` otherwise."""
+    """How many digests differ between the sets of each row of a and b. Sketches of `cells` cells, the fingerprints, subtract
+    first; share: cells for each digest of both at the first retry, for versions that are known to differ much."""
     total = np.diff(a[1]) + np.diff(b[1])
     out = np.zeros(len(total), np.int64)
-    # doublings of `cells` that each row is tried at next
-    at = np.ceil(np.log2(np.maximum(total * share / cells, 1))).astype(np.int64)
+    # doublings of `cells` that each row is tried at next, and at its first retry
+    at = np.zeros(len(total), np.int64)
+    retry = np.ceil(np.log2(np.maximum(total * share / cells, 1))).astype(np.int64)
     left = np.arange(len(total))
     while len(left):
         k = int(at[left].min())
@@ -135,7 +141,10 @@ def differences(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarra
             x, y = sketch(*take(*a, part), size), sketch(*take(*b, part), size)
             clear, found, _ = peel(x[0] - y[0], x[1] ^ y[1], x[2] ^ y[2])
             out[part[clear]] = found[clear]
-            at[part] = np.where(clear, -1, k + GROWTH)
+            at[part] = np.where(clear, -1, np.maximum(k + GROWTH, retry[part]))
+            for i in part[~clear & (size >= LAST * total[part])].tolist():
+                out[i] = len(np.setxor1d(a[0][a[1][i] : a[1][i + 1]], b[0][b[1][i] : b[1][i + 1]]))
+                at[i] = -1
         left = left[at[left] >= 0]
     return out
 
@@ -220,7 +229,7 @@ def against_next(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(list(low), pa.int32()), pa.array(list(low.values()), pa.int64())], ["part", "k"])
 
     # a row for each range, of which there are as many as shuffle partitions
-    firsts = sorted((r["part"], r["k"]) for r in own.select("k").mapInArrow(heads, "part int, k long").groupBy("part").agg(F.min("k").alias("k")).collect())
+    firsts = sorted((r["part"], r["k"]) for r in own.select("k").mapInArrow(lean(heads), "part int, k long").groupBy("part").agg(F.min("k").alias("k")).collect())
     parts = [p for p, _ in firsts]
     tails = spark.sparkContext.broadcast({k: parts[i - 1] for i, (_, k) in enumerate(firsts)})
 
@@ -249,4 +258,4 @@ def against_next(docs: DataFrame) -> DataFrame:
             yield _compare(ready)
 
     dealt = own.withColumn("at", F.explode(places("k"))).select("at.part", "at.tail", "k", "known", "text")
-    return dealt.repartition(n, "part").sortWithinPartitions("part", "tail", "k", "text").mapInArrow(run, SCHEMA)
+    return dealt.repartition(n, "part").sortWithinPartitions("part", "tail", "k", "text").mapInArrow(lean(run), SCHEMA)
