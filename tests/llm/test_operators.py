@@ -76,36 +76,58 @@ def test_near_duplicate_classes(docs, none):
     assert simhash.near_duplicate_classes(none).count() == 0
 
 
-def test_large_runs_are_dealt_out(spark):
+def classes_of(pairs, nodes):
+    up = {x: x for x in nodes}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    return {x: root(x) for x in nodes}
+
+
+@pytest.mark.parametrize("run_rows", [16, 64, 1 << 16])
+def test_large_runs_are_dealt_out(spark, run_rows):
     from quirelake.llm import hamming
 
     r = np.random.default_rng(4)
     base = int(r.integers(0, 1 << 62))
-    fps = sorted({base ^ sum(1 << int(b) for b in r.choice(64, 3, replace=False)) for _ in range(300)})
-    df = spark.createDataFrame([(x,) for x in np.array(fps, np.uint64).view(np.int64).tolist()], "fp long")
-    both, n = hamming.bit_statistics(df)[1], len(fps)
-    assert hamming.bit_statistics(df)[0] == n and both[0, 0] == sum(f & 1 for f in fps)
-    names = [("fp", "long")]
-    def compare(cols, boxes, defer, partition):
-        import pyarrow as pa
-
-        null = lambda k, t: pa.nulls(k, t)
-        fields = ["u", "v", "fp", "pair", "side"]
-        if defer:
-            at, pair, side = defer
-            k = at.stop - at.start
-            yield pa.record_batch([null(k, pa.int64()), null(k, pa.int64()), pa.array(cols["fp"][at]), pa.array(np.full(k, pair)), pa.array(np.full(k, side, np.int32))], fields)
-        for box in boxes:
-            for x, y in hamming.close_pairs(cols["fp"].view(np.uint64), box, 4):
-                yield pa.record_batch([pa.array(cols["fp"][x]), pa.array(cols["fp"][y]), null(len(x), pa.int64()), null(len(x), pa.int64()), null(len(x), pa.int32())], fields)
-
-    seen = spark.createDataFrame([(1, x) for x in np.array(fps, np.uint64).view(np.int64).tolist()], "key long, fp long")
-    want = {tuple(sorted((int(a), int(b)))) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 4}
-    found, rest = hamming.run_pairs(seen, names, compare, "u long, v long", n, run_rows=64)
-    found = common.cut(found)
-    assert found.where("u is not null").count() == 0  # all of it is dealt out
-    got = rest(found).where("u is not null").collect()
-    assert {tuple(sorted((r["u"] % (1 << 64), r["v"] % (1 << 64)))) for r in got} == want
+    fps = {base ^ sum(1 << int(b) for b in r.choice(64, 3, replace=False)) for _ in range(300)} | {int(x) for x in r.integers(0, 1 << 62, 50)}
+    fps = sorted(np.array(sorted(fps), np.uint64).view(np.int64).tolist())
+    df = spark.createDataFrame([(x,) for x in fps], "fp long")
+    n, both = hamming.bit_statistics(df)
+    assert n == len(fps) and both[0, 0] == sum(f & 1 for f in fps)
+    close = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if ((a ^ b) % (1 << 64)).bit_count() <= 4]
+    got = [(r["u"], r["v"]) for r in hamming.links(df, 4, run_rows=run_rows).collect()]
+    assert classes_of(got, fps) == classes_of(close, fps) and all(a < b for a, b in got)
+
+
+def test_every_pair_of_a_hot_run_meets(spark):
+    """Many documents about one text, of which only some are similar: hot keys in chunks, several searches."""
+    r = random.Random(9)
+    words = prose(90, 77).split()
+    texts = []
+    for _ in range(120):
+        w = list(words)
+        for _ in range(r.choice([1, 2, 3, 5])):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        texts.append(" ".join(w))
+    close = [(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if jaccard(a, b) >= 0.8]
+    want = classes_of(close, range(len(texts)))
+    assert 1 < len(set(want.values())) < 100
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for run_rows in (16, 1 << 16):
+        about, root = near_dup.node_classes(df, run_rows=run_rows)
+        node = {r["doc_id"]: r["node"] for r in about.collect()}
+        root = {r["node"]: r["root"] for r in root.collect()}
+        got = {}
+        for i in node:
+            got.setdefault(root.get(node[i], node[i]), []).append(i)
+        assert sorted(map(sorted, got.values())) == sorted([i for i in want if want[i] == x] for x in set(want.values()))
 
 
 def jaccard(a, b, k=5):
@@ -132,7 +154,12 @@ def test_one_of_each_class_stays(docs, none):
         k = (ROWS[i][0] is None, ROWS[i][0] or 0)
         want[u] = min(want.get(u, k), k)
     assert ids == sorted(want.values())
+    assert all((r["__row"], r["fp"], r["node"], r["kind"]) == (2, 1, "x", "k") for r in kept.collect())
     assert near_dup.deduplicate(none).count() == 0
+    clash = docs.selectExpr("doc_id", "text", "1 as __bucket", "2 as __Row", "3 as __spot", "4 as __hit", "'a' as __bitmap", "5 as `a.b`")
+    same = near_dup.deduplicate(clash)
+    assert same.dtypes == clash.dtypes and same.count() == kept.count()
+    assert {tuple(r[2:]) for r in same.collect()} == {(1, 2, 3, 4, "a", 5)}
 
 
 def bag(t, k=5):
@@ -156,26 +183,32 @@ def test_leaks(spark, docs, none):
                 a, b = Counter(g[s : s + len(own)]), Counter(own)
                 sim = sum((a & b).values()) / sum((a | b).values())
                 if sim >= 0.8:
-                    want[d, -1 if i is None else i] = max(want.get((d, -1 if i is None else i), 0), round(sim, 9))
+                    want[d, i] = max(want.get((d, i), 0), round(sim, 9))
     got = decontaminate.leaks(held, bench).collect()
     assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in got} == want and len(got) == len(want)
-    assert len(want) >= 7
-    left = decontaminate.clean(held, bench)
+    assert len(want) >= 7 and any(i is None for _, i in want)
+    left = decontaminate.clean(held.withColumn("__row", held.item_id + 1).withColumn("__bucket", held.item_id + 2), bench)
     assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted(str(d) for d, _ in [*enumerate(texts), (0, 0), (None, 0)] if not any(k[0] == d for k in want))
+    assert {(r["__row"], r["__bucket"]) for r in left.collect()} == {(1, 2)} and dict(left.dtypes)["__row"] == "int"
     assert decontaminate.leaks(none, bench).count() == 0
     assert decontaminate.clean(held, bench.limit(0)).count() == held.count()
 
 
-def test_index_finds_all_within_the_radius():
+@pytest.mark.parametrize("count", [20, 900])
+def test_index_finds_all_within_the_radius(count):
     r = np.random.default_rng(8)
-    h = r.integers(0, 1 << 63, 400).astype(np.uint64)
-    items = decontaminate.Items(np.arange(20), h, np.arange(0, 401, 20), 5, 16, 5)
-    for _ in range(200):
-        i = int(r.integers(20))
-        f = int(items.fp[i])
+    h = r.integers(0, 1 << 63, 20 * count).astype(np.uint64)
+    items = decontaminate.Items(list(range(count)), h, np.arange(0, 20 * count + 1, 20), 5, 16, 5)
+    fs = []
+    for _ in range(300):
+        f = int(items.fp[int(r.integers(count))])
         for b in r.choice(64, int(r.integers(17)), replace=False):
             f ^= 1 << int(b)
-        assert sorted(items.near(f)) == [j for j in range(20) if (int(items.fp[j]) ^ f).bit_count() <= 16]
+        fs.append(f)
+    x, y = items.near(np.array(fs, np.uint64), 20)
+    want = [(k, j) for k, f in enumerate(fs) for j in range(count) if (int(items.fp[j]) ^ f).bit_count() <= 16]
+    assert list(zip(x.tolist(), y.tolist())) == want and len(want) >= 300
+    assert len(items.near(np.array(fs, np.uint64), 7)[0]) == 0
 
 
 def test_conversations(spark):
@@ -212,6 +245,41 @@ def test_pieces_hold_every_id_once(docs, none):
     assert packing.pack(none).count() == 0
 
 
+@pytest.mark.parametrize("sizes", [[], [5], [2048] * 3, [1] * 5000, [1100] * 40, [1500, 600] * 30, list(range(1, 2048, 9))])
+def test_windows_hold_every_token_with_little_padding(sizes):
+    got = packing.windows(np.array(sizes, np.int64))
+    pieces = {}
+    for i, start, n, _ in got:
+        pieces.setdefault(i, []).append((start, n))
+    assert {i: sum(n for _, n in p) for i, p in pieces.items()} == dict(enumerate(sizes))
+    for p in pieces.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(p), sorted(p)[1:])) and min(p)[0] == 0
+    fill = Counter()
+    for *_, n, w in got:
+        fill[w] += n
+    least = -(-sum(sizes) // 2048)
+    assert all(n <= 2048 for n in fill.values()) and len(fill) <= max(least, sum(sizes) / 2048 / 0.995)
+
+
+def test_differencing_is_as_even_as_can_be():
+    from itertools import product
+
+    r = np.random.default_rng(5)
+    worse = []
+    for _ in range(40):
+        sizes = r.integers(1, 50, 8)
+        got = packing.difference(sizes, 3)[1]
+        best = min(np.ptp(np.bincount(p, weights=sizes, minlength=3)) for p in product(range(3), repeat=8))
+        worse.append(np.ptp(got) - best)
+    assert np.mean(worse) < 6 and min(worse) >= 0
+
+
+def test_many_empty_texts_are_packed(spark):
+    got = packing.pack(spark.range(100_000).selectExpr("id as doc_id", "cast(null as string) as text").repartition(2))
+    by = got.groupBy("sequence_id").agg({"length": "sum", "offset": "max"}).collect()
+    assert sum(r["sum(length)"] for r in by) == 100_000 and len(by) <= 52 and all(r["max(offset)"] == r["sum(length)"] - 1 <= 2047 for r in by)
+
+
 def test_rollup(spark, docs, none, tmp_path):
     enc = tokens.encoder(*tokens.default_paths())
     want = Counter()
@@ -224,7 +292,10 @@ def test_rollup(spark, docs, none, tmp_path):
     assert r.apply("a", rollup.inserted(counts)) and not r.apply("a", rollup.inserted(counts))
     as_dict = lambda: {(x["source"], x["lang"], k): x[k] for x in r.totals().collect() for k in rollup.SUMS}
     assert as_dict() == dict(want)
-    (tmp_path / "r" / "v=2").mkdir()  # what a failed commit leaves
+    (tmp_path / "r" / "totals-2-lost").mkdir()  # what a failed commit leaves
+    for mark in (tmp_path / "r" / "ids").iterdir():
+        mark.unlink()  # a failure right after the commit
+    assert not r.apply("a", rollup.inserted(counts))
     half = docs.where("doc_id % 2 = 0")
     assert r.apply("b", rollup.deleted(rollup.counted(half, "v1"))) and r.apply("c", rollup.inserted(rollup.counted(half, "v1")))
     assert as_dict() == dict(want) and r.batches() == ["a", "b", "c"]
@@ -234,6 +305,22 @@ def test_rollup(spark, docs, none, tmp_path):
     assert rollup.token_totals(docs, str(tmp_path / "t")).selectExpr("sum(tokens) n").first()["n"] == sum(n for k, n in want.items() if k[2] == "tokens")
 
 
+def test_two_writers_lose_no_commit(spark, docs, tmp_path):
+    one, two = (rollup.Rollup(spark, str(tmp_path / "r")) for _ in range(2))
+    counts = rollup.estimated(docs)
+    assert one.apply("first", rollup.inserted(counts))
+    make, raced = two._make, []
+
+    def late(name, text):
+        if not raced:
+            raced.append(one.apply("second", rollup.inserted(counts)))  # it commits while the other one writes
+        return make(name, text)
+
+    two._make = late
+    assert two.apply("third", rollup.inserted(counts)) and raced == [True]
+    assert one.batches() == ["first", "second", "third"] and one.totals().selectExpr("sum(docs) n").first()["n"] == 3 * len(ROWS)
+
+
 def test_shards(docs, none, tmp_path):
     enc = tokens.encoder(*tokens.default_paths())
     f = str(tmp_path / "s")
@@ -251,6 +338,26 @@ def test_shards(docs, none, tmp_path):
     again = sorted(training_order.write_shards(docs, str(tmp_path / "t"), shards=3, stride=64).collect(), key=lambda r: r["slot"])
     assert [r["ids_crc32"] for r in again] == [r["ids_crc32"] for r in got]
     assert training_order.write_shards(none, str(tmp_path / "u")).count() == 0
+    # a slot is what the permutation of the exact count gives, and says where its record is
+    per_shard = -(-len(got) // 3)
+    assert all((r["shard"], r["place"]) == divmod(r["slot"], per_shard) for r in got)
+    for n in (1, 2, 3, len(got), 1000):
+        assert sorted(training_order.permuted(np.arange(n), 7, n).tolist()) == list(range(n))
+    assert not [p.name for p in (tmp_path / "s").iterdir() if p.name.startswith("_")]
+    wide = training_order.write_shards(docs, str(tmp_path / "w"), shards=2, stride=64, width=4)
+    assert wide.count() == len(got) and training_order.read_records(str(tmp_path / "w"), 0, 0, stride=64, width=4).shape == (1, 64)
+    with pytest.raises(Exception, match="doesn't fit"):
+        training_order.write_shards(docs, str(tmp_path / "x"), shards=2, stride=64, width=1, end_id=0)
+
+
+def test_shards_survive_a_failed_attempt(docs, tmp_path):
+    f = tmp_path / "s"
+    first = training_order.write_shards(docs, str(f), shards=2, stride=64).collect()
+    said = {p.name: p.read_bytes() for p in f.iterdir()}
+    (f / "_99-shard-000000.bin").write_bytes(b"half")  # what an attempt that was lost left
+    (f / "shard-000001.bin").unlink()
+    again = training_order.write_shards(docs, str(f), shards=2, stride=64).collect()
+    assert sorted(first) == sorted(again) and {p.name: p.read_bytes() for p in f.iterdir()} == said
 
 
 def test_quality(spark, docs, none):
@@ -313,11 +420,25 @@ def test_fingerprints_against_the_next(docs, none, spark):
     for r, w in zip(sorted(got, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0)), order):
         fps.setdefault(w[2], set()).add(r["fingerprint"])
     assert all(len(v) == 1 for v in fps.values())
+    for r, w in zip(sorted(got, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0)), order):
+        cells = np.frombuffer(bytes.fromhex(r["fingerprint"]), iblt.CELL)
+        assert len(cells) == iblt.CELLS and cells["n"].sum() == 3 * len(digest(w[2]))
     assert iblt.against_next(none).count() == 0
     alone = iblt.against_next(spark.createDataFrame([(1, "a b c")], "doc_id long, text string")).collect()
     assert alone[0]["near_next"] == 1.0
 
 
+def test_sketches_of_very_long_texts():
+    r = np.random.default_rng(6)
+    keys = np.unique(r.integers(0, 1 << 63, 250_000).astype(np.uint64))
+    a, b = (keys, np.array([0, len(keys)])), (keys[7:], np.array([0, len(keys) - 7]))
+    assert iblt.differences(a, b).tolist() == [7]  # seven peel from the fingerprints alone
+    cells = np.frombuffer(bytes.fromhex(iblt.fingerprints(*a)[0]), iblt.CELL)
+    assert cells["n"].sum() == 3 * len(keys) and cells["n"].max() > 1 << 15
+    same = (np.repeat(keys[:1], 2), np.array([0, 2]))  # never peels: both digests have equal places
+    assert iblt.differences(same, (keys[:0], np.array([0, 0]))).tolist() == [1]
+
+
 def test_personal_data(spark, none):
     texts = [None, "", "write to a.b@c.example.org, +49 30 1234567", "from 10.0.0.300 and 10.0.0.3", "é 4111 1111 1111 1111"]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(2, texts[2], 1), (None, texts[3], 1)], "doc_id long, text string, spans int")

@@ -110,3 +110,48 @@ def test_packing(outputs):
 
 def test_run(spark, outputs):
     assert corpus_pipeline.run(spark, SF).count() == outputs[5].count()
+
+
+BASE = "the quick brown fox jumps over the lazy dog and then it runs home to sleep by the fire until the sun comes up again"
+ODD = [(1, None), (2, ""), (3, " \n\t"), (None, BASE), (4, BASE), (4, BASE), (5, BASE.upper()), (6, BASE + " now"), (7, "call +49 30 1234567 or a.b@c.example.org"), (7, "x"), (8, "long " * 60_000), (None, None)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(i, t, None, None, len(t) if t else None, "kept", 9) for i, t in ODD]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `__row` string, `__bucket` int").repartition(3)
+
+
+def test_odd_rows_pass_every_stage(spark, odd):
+    docs = odd
+    kept = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        kept.append(sorted(str(r["doc_id"]) for r in docs.collect()))
+        if name != "packing":
+            assert docs.columns == corpus_pipeline.COLUMNS
+    assert kept[0].count("4") == 2 and kept[1].count("4") == 1  # of equal rows one stays
+    assert {"5", "6"}.isdisjoint(kept[1]) and kept[1].count("7") == kept[0].count("7")
+    assert len([i for i in kept[1] if i in ("1", "2", "3", "None")]) <= 1  # texts without words are copies
+    assert set(kept[4]) == set(kept[3])  # every document has its end token at least
+
+
+@pytest.mark.parametrize("k", range(1, 5))
+def test_stages_after_the_first_on_odd_rows(spark, odd, k):
+    got = corpus_pipeline.STAGES[k][1](spark, odd, SF).collect()
+    ids = Counter(r["doc_id"] for r in got)
+    if k == 1:
+        assert ids == Counter({1: 1, 4: 1, 7: 2, 8: 1})
+    elif k == 2:
+        assert ids == Counter(i for i, _ in ODD)
+    elif k == 3:
+        said = {(r["doc_id"], r["text"]) for r in got}
+        assert (7, "call [PHONE] or [EMAIL]") in said and (1, None) in said and len(got) == len(ODD)
+        assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
+    else:
+        assert set(ids) == {i for i, _ in ODD} and sum(r["length"] for r in got if r["start"] == 0 and r["length"] == 1) >= 3
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_empty_tables_pass_every_stage(spark, odd, k):
+    assert corpus_pipeline.STAGES[k][1](spark, odd.limit(0), SF).count() == 0
