@@ -146,6 +146,17 @@ def test_continued_tables():
     assert sorted(A.merge_continued({1: t(1), 2: t(2)}, {1})) == [1, 2]
 
 
+def test_a_grid_goes_on_with_one_row():
+    edges, file = (60, 180, 300, 460), lambda pages: pdf_file([b"".join(b"%d %d %d 20 re S\n" % (a, 710 - 20 * r, b - a) for r in range(len(rows)) for a, b in zip(edges, edges[1:])) + b"".join(show(edges[c] + 4, 714 - 20 * r, t) for r, row in enumerate(rows) for c, t in enumerate(row)) for rows in pages])
+    head, rows = ["key", "name", "value"], [[f"k{r}", f"name{r}", f"v{r}"] for r in range(31)]
+    line = lambda r: "|" + "|".join(r) + "|\n"
+    text = pdf.process(file([[head, *rows[:30]], [head, rows[30]]]), options=A.Options())["markdown"]
+    assert text == line(head) + "|---|---|---|\n" + "".join(map(line, rows))
+    # two rows that repeat no header go on from nothing, and stand for themselves
+    assert "|other" not in pdf.process(file([[head, *rows[:30]], [["other", "name", "value"], rows[30]]]), options=A.Options())["markdown"]
+    assert "|" not in pdf.process(file([[head, rows[30]]]), options=A.Options())["markdown"]
+
+
 # ---- tables --------------------------------------------------------------------------------------------------------------
 
 
