@@ -118,10 +118,15 @@ def _two_columns(lines: list[str]) -> bytes:
 def _lines_of(text: Column) -> Column:
     """Lines of five lower-case words, cut to 11 letters each, after the line's number in letters; all filled to one width."""
     words = F.transform(F.filter(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z]+", " ")), " "), lambda w: F.length(w) > 1), lambda w: F.substring(w, 1, 11))
-    count = F.ceil(F.size(words) / LINE_WORDS).cast("int")
-    said = lambda k: F.array_join(F.slice(words, k * LINE_WORDS + 1, F.lit(LINE_WORDS)), " ")
-    line = lambda k: F.rpad(F.concat(F.translate((k + 10000).cast("string"), "0123456789", "abcdefghij"), F.lit("x "), said(k)), 66, "z")
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), line)).otherwise(F.array().cast("array<string>"))
+
+    def lines(ws: Column) -> Column:
+        count = F.ceil(F.size(ws) / LINE_WORDS).cast("int")
+        said = lambda k: F.array_join(F.slice(ws, k * LINE_WORDS + 1, F.lit(LINE_WORDS)), " ")
+        line = lambda k: F.rpad(F.concat(F.translate((k + 10000).cast("string"), "0123456789", "abcdefghij"), F.lit("x "), said(k)), 66, "z")
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), line)).otherwise(F.array().cast("array<string>"))
+
+    # the words are a variable, so that they are made once for a text rather than once for each of its lines
+    return F.transform(F.array(words), lines)[0]
 
 
 def pdf_columns(spark: SparkSession, sf: str) -> DataFrame:

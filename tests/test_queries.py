@@ -6,8 +6,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from quirelake.plans import queries as own
+from quirelake.plans import page_queries, queries as own
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -56,3 +57,10 @@ def test_every_turn_has_a_page(spark, tmp_path):
     spark.createDataFrame([(1, 0, "a", "x"), (1, 1, "b", "y"), (2, 1, "a", "z")], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = sorted(tuple(r) for r in own.QUERIES["fill_missing_pages"](spark, str(tmp_path)).collect())
     assert got == [(1, 1, "x"), (1, 2, ""), (1, 3, "y"), (1, 4, ""), (2, 1, ""), (2, 2, ""), (2, 3, "z"), (2, 4, "")]
+
+
+def test_words_of_a_page_are_made_once_for_a_text(spark):
+    texts = spark.createDataFrame([(1, "ab cd " * 6)], "doc_id long, text string")
+    made = texts.select(page_queries._lines_of(F.col("text")).alias("lines"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert [x[:8] for x in made.first()["lines"]] == ["baaaax a", "baaabx c", "baaacx a"]
