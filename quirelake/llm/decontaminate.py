@@ -165,25 +165,26 @@ def leaks_of(h: np.ndarray, hit: np.ndarray, items: Items, threshold: float) ->
 
 
 def _parts(benchmark: DataFrame, k: int, radius: int, blocks: int) -> list[Items]:
-    """The benchmark in parts of bounded size, each with a hash of its item_id of its own."""
+    """The benchmark in parts of bounded size, each with a hash of id and text of its own. An item is found by itself, so what
+    is found doesn't depend on their number."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).where("text is not null")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()[0]
     n = -(-total // MAX_BENCHMARK_BYTES)
     out = []
     for p in range(n):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == p) if n > 1 else rows
+        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == p)
         got = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
         raw, offsets = text_bytes(pa.array([t for _, t in got], pa.string()))
         h, first = hashed(raw, offsets, k)
         count = np.diff(word_spans(raw, offsets)[2])
         keep = np.diff(first) > 0
-        ids = [i for (i, _), k in zip(got, keep.tolist(), strict=True) if k]
+        ids = [i for (i, _), has in zip(got, keep.tolist(), strict=True) if has]
         first = np.concatenate([[0], np.cumsum(np.diff(first)[keep])]).astype(np.int64)
         if ids:
             short: dict[int, dict[int, list[int]]] = {}
-            for i, n in enumerate(count[keep].tolist()):
-                if n < k:
-                    short.setdefault(n, {}).setdefault(int(h[first[i]]), []).append(i)
+            for i, size in enumerate(count[keep].tolist()):
+                if size < k:
+                    short.setdefault(size, {}).setdefault(int(h[first[i]]), []).append(i)
             out.append(Items(ids, h, first, k, radius, blocks, short))
     return out
 
@@ -227,7 +228,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, threshold:
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int32()), strict=True)], names)
 
         out = out.unionByName(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).mapInArrow(lean(run), SCHEMA))
-    return out.groupBy("doc_id", "item_id").agg(F.min_by(F.struct("similarity", "start_word", "bits"), F.struct(-F.col("similarity"), "start_word")).alias("x")).select("doc_id", "item_id", "x.*")
+    return out.groupBy("doc_id", "item_id").agg(F.min_by(F.struct("similarity", "start_word", "bits"), F.struct(-F.col("similarity"), "start_word", "bits")).alias("x")).select("doc_id", "item_id", "x.*")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
